@@ -9,6 +9,37 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    return mix(table(spark, sf_dir, "documents"))
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .urlfilter import captures, entries, evaluate
+
+    return evaluate(captures(table(spark, sf_dir, "pages")), entries(spark))
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import interleave
+
+    return interleave(table(spark, sf_dir, "documents"))
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score, train
+
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minhash import MinHash, near_duplicates
 
@@ -20,4 +51,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import licenses, urlfilter
+
+    return {"op3_url_filter": urlfilter.oracle(), "op10_license_scan": licenses.oracle()}
