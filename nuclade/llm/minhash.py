@@ -3,8 +3,8 @@
 Scale: one pass in Python over the texts, whose output is a sketch of bounded
 size a text; the bands are grouped by key with partial aggregates. Links are
 found from each bucket's leaders first, so a bucket of n copies gives n pairs.
-What is left between different components of one bucket is compared as blocks
-of at most ``BLOCK`` texts, never as one group.
+What is left between different components of overlapping buckets is compared in
+signature tiles of bounded size; a forest of links leaves a tile, never its pairs.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ from .shingles import shingle_sets
 
 #: Texts of a block in verification, and rows of texts in one task's group.
 BLOCK, GROUP = 128, 1500
+#: Shingles of a tile's side.
+TILE = 400_000
 
 
 @dataclass(frozen=True)
@@ -123,15 +125,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, how: MinHash) -> DataFrame:
             ra, rb = find(a), find(b)
             if ra == rb:
                 continue
-            x, y = sets[a], sets[b]
-            if 100 * min(len(x), len(y)) < how.percent * max(len(x), len(y)):
-                continue
-            if len(x) > len(y):
-                x, y = y, x
-            at = np.searchsorted(y, x)
-            at[at == len(y)] = 0
-            common = int(np.count_nonzero(y[at] == x))
-            if 100 * common >= how.percent * (len(x) + len(y) - common):
+            if alike(sets[a], sets[b], how.percent):
                 found.append((a, b))
                 root[max(ra, rb)] = min(ra, rb)
         return pd.DataFrame(found, columns=["u", "v"], dtype="int64")
@@ -156,6 +150,76 @@ def _agree(pairs: DataFrame, sketches: DataFrame, how: MinHash) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "block_a", "block_b", "sa", "sb").mapInPandas(run, "a long, b long, block_a long, block_b long")
 
 
+def _across(open_: DataFrame, reps: DataFrame, texts: DataFrame, how: MinHash) -> DataFrame:
+    """Links ``(u, v)`` between different components among ``open_(doc_id, low, c)``.
+
+    ``low`` is a document of the same bucket. Buckets that overlap are one group;
+    its largest component isn't compared with itself. The rest is compared by
+    signature tiles of bounded size, and by full sets where a tile doesn't rule
+    a pair out and no link of the tile has joined the two components yet.
+    """
+    groups = components(open_.select(F.col("doc_id").alias("u"), F.col("low").alias("v")))
+    members = open_.select("doc_id", "c").distinct().join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    members = keep(members.select("doc_id", "c", F.coalesce("component", "doc_id").alias("g")).join(reps.select("doc_id", "n_shingles", "signature"), "doc_id"))
+    parts = members.groupBy("g", "c").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("size"))
+    most = parts.groupBy("g").agg(F.max(F.struct("n", "c"))["c"].alias("major"))
+    parts = parts.join(most, "g").withColumn("is_major", F.col("c") == F.col("major"))
+    tiles = parts.groupBy("g", "major").agg(*(F.ceil(F.coalesce(F.sum(F.when(F.col("is_major") == x, F.col("size"))), F.lit(0)) / TILE).alias(y) for x, y in ((True, "large"), (False, "small"))))
+    dealt = members.join(tiles, "g").withColumn("is_major", F.col("c") == F.col("major"))
+    own = F.pmod(F.xxhash64("doc_id"), F.when(F.col("is_major"), F.col("large")).otherwise(F.col("small"))).cast("int")
+    others = F.when(F.col("is_major"), F.transform(F.sequence(F.lit(0), F.col("small") - 1), lambda i: F.struct(i.cast("int").alias("i"), (-1 - own).alias("j"))))
+    inner = F.transform(F.sequence(F.lit(0), F.col("small") - 1), lambda i: F.struct(F.least(own, i.cast("int")).alias("i"), F.greatest(own, i.cast("int")).alias("j")))
+    outer = F.transform(F.sequence(F.lit(1), F.col("large")), lambda j: F.struct(own.alias("i"), (-j).cast("int").alias("j")))
+    seats = dealt.withColumn("seat", F.explode(others.otherwise(F.concat(inner, outer)))).select("doc_id", "c", "g", "signature", "seat.i", "seat.j", "n_shingles")
+    seats = keep(seats)
+    bins = max(1, -(-(seats.agg(F.sum("n_shingles")).first()[0] or 0) // (2 * TILE)))
+    seats = seats.withColumn("bin", F.pmod(F.xxhash64("g", "i", "j"), F.lit(bins))).drop("n_shingles").join(texts.select("doc_id", "text"), "doc_id")
+
+    def run(batch: pd.DataFrame) -> pd.DataFrame:
+        found: list[tuple[int, int]] = []
+        for _, tile in batch.drop_duplicates(["doc_id", "g", "i", "j"]).groupby(["g", "i", "j"]):
+            found += _tile(tile["doc_id"].tolist(), tile["c"].tolist(), list(tile["signature"]), list(shingle_sets(tile["text"].tolist(), how.words)), how)
+        return pd.DataFrame(found, columns=["u", "v"], dtype="int64")
+
+    return keep(seats.groupBy("bin").applyInPandas(run, "u long, v long"))
+
+
+def _tile(ids: list[int], parts: list[int], signatures: list[bytes], sets: list[np.ndarray], how: MinHash) -> list[tuple[int, int]]:
+    marks = np.frombuffer(b"".join(signatures), dtype=np.uint8).reshape(len(ids), -1)
+    part = np.array(parts)
+    pairs = []
+    for i in range(len(ids) - 1):
+        agree = (marks[i + 1 :] == marks[i]).sum(axis=1)
+        for j in (np.flatnonzero((agree >= how.least_agreement()) & (part[i + 1 :] != part[i])) + i + 1).tolist():
+            pairs.append((-int(agree[j - i - 1]), i, j))
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.get(x, x)) != x:
+            root[x] = x = root.get(up, up)
+        return x
+
+    found = []
+    for _, i, j in sorted(pairs):
+        a, b = find(parts[i]), find(parts[j])
+        if a != b and alike(sets[i], sets[j], how.percent):
+            found.append((ids[i], ids[j]))
+            root[max(a, b)] = min(a, b)
+    return found
+
+
+def alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether sorted sets have 100 * |x & y| >= percent * |x | y|."""
+    if len(x) > len(y):
+        x, y = y, x
+    if not len(x) or 100 * len(x) < percent * len(y):
+        return False
+    at = np.searchsorted(y, x)
+    at[at == len(y)] = 0
+    common = int(np.count_nonzero(y[at] == x))
+    return 100 * common >= percent * (len(x) + len(y) - common)
+
+
 def near_duplicates(docs: DataFrame, how: MinHash | None = None) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)`` of each row of ``docs(doc_id, text)``.
 
@@ -188,13 +252,11 @@ def near_duplicates(docs: DataFrame, how: MinHash | None = None) -> DataFrame:
     leaders = shared.select(F.explode(F.array("low", "high")).alias("a"), F.col("doc_id").alias("b")).where("a <> b")
     edges = links(leaders.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     found = components(edges)
-    #: Buckets whose members are in different components: every such pair is compared.
+    # Buckets whose members are in different components.
     named = shared.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("c"))
-    split = named.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("key")
-    open_ = keep(named.join(split, "key"))
-    other = open_.select("key", F.col("doc_id").alias("b"), F.col("c").alias("cb"))
-    rest = open_.select("key", F.col("doc_id").alias("a"), "c").join(other, "key").where("a < b and c <> cb").select("a", "b").distinct()
-    more = links(rest)
+    split = named.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min("doc_id").alias("low")).where("c0 <> c1").select("key", "low")
+    open_ = keep(named.join(split, "key").select("doc_id", "low", "c").distinct())
+    more = _across(open_, reps, docs, how)
     if not more.isEmpty():
         found = components(edges.union(more))
 
