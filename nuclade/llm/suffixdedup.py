@@ -190,7 +190,7 @@ def _shard(texts: list[bytes], length: int) -> list[list[tuple[int, int]]]:
     return out
 
 
-def remove_repeats(docs: DataFrame, how: Repeats | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, how: Repeats | None = None, carry: list[str] | None = None) -> DataFrame:
     """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept)`` of each row of ``docs(doc_id, text)``.
 
     Each byte of a text that a string of ``how.length`` bytes covers which also
@@ -199,11 +199,14 @@ def remove_repeats(docs: DataFrame, how: Repeats | None = None) -> DataFrame:
     out; the digest is of the rest's bytes. Null and empty texts have no bytes,
     and shorter ones than the length lose none. Repeated rows are texts of their
     own and so repeat each other. A null doc_id is an id. Other columns are
-    ignored.
+    ignored, but for those in ``carry``, which come back beside these.
     """
     how = how or Repeats()
     length = how.length
-    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
+    carry = carry or []
+    with_ = [f"with_{c}" for c in carry]
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("th"), *(F.col(c).alias(w) for c, w in zip(carry, with_, strict=True)))
+    kinds_of = {f.name: f.dataType.simpleString() for f in docs.schema}
     rows = keep(_segment_rows(docs, length))
     shared = rows.groupBy("mh").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("mh")
     rows = keep(rows.join(shared, "mh"))
@@ -215,25 +218,27 @@ def remove_repeats(docs: DataFrame, how: Repeats | None = None) -> DataFrame:
     compared = compared.select("doc_id", "th", "at", "span", "off", "mh", (F.col("way") + F.when(F.col("hot"), 2).otherwise(0)).alias("way"))
     # way: 0 a repeat; 1 to be compared; 2 compared, and a repeat; 3 and 4 the same of a hot minimizer.
     own = covered.union(compared).groupBy("doc_id", "th").agg(F.collect_list(F.struct("at", "span", "off", "mh", "way")).alias("parts"))
-    left = docs.alias("d").join(own.alias("o"), (F.col("d.th") == F.col("o.th")) & F.col("d.doc_id").eqNullSafe(F.col("o.doc_id")), "left").select("d.doc_id", "d.th", "d.text", "o.parts")
+    left = docs.alias("d").join(own.alias("o"), (F.col("d.th") == F.col("o.th")) & F.col("d.doc_id").eqNullSafe(F.col("o.doc_id")), "left").select("d.doc_id", "d.th", "d.text", "o.parts", *with_)
 
     def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for k in range(0, len(batch), 500):
                 out = []
-                for doc_id, th, text, parts in batch.iloc[k : k + 500][["doc_id", "th", "text", "parts"]].itertuples(index=False):
+                part = batch.iloc[k : k + 500]
+                for doc_id, th, text, parts in part[["doc_id", "th", "text", "parts"]].itertuples(index=False):
                     parts = [] if parts is None else [tuple(x.values()) if isinstance(x, dict) else tuple(x) for x in parts]
                     spans = _merged([(x[0], x[0] + x[1]) for x in parts if x[4] in (0,)])
                     data = b"" if text is None else text.encode("utf-8", "surrogatepass")
                     more = [x for x in parts if x[4]]
                     done = {} if more else _cut(data, spans)
                     out.append({"doc_id": doc_id, "th": th, "text": text if more else None, "spans": [{"a": a, "b": b} for a, b in spans], "more": [dict(zip(("at", "span", "off", "mh", "way"), x, strict=True)) for x in more], "done": not more, **done})
-                yield pd.DataFrame(out, columns=["doc_id", "th", "text", "spans", "more", "done", *RESULT])
+                made = pd.DataFrame(out, columns=["doc_id", "th", "text", "spans", "more", "done", *RESULT])
+                yield made.assign(**{w: part[w].to_numpy() for w in with_})
 
     part = "array<struct<at:long,span:int,off:int,mh:long,way:int>>"
-    schema = f"doc_id long, th long, text string, spans array<struct<a:long,b:long>>, more {part}, done boolean, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"
+    schema = f"doc_id long, th long, text string, spans array<struct<a:long,b:long>>, more {part}, done boolean, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string" + "".join(f", {w} {kinds_of[w]}" for w in with_)
     met = keep(left.mapInPandas(first, schema))
-    open_ = met.where("not done").select("doc_id", "th", "text", "spans", "more")
+    open_ = met.where("not done").select("doc_id", "th", "text", "spans", "more", *with_)
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Segments with their bytes; those of hot minimizers cut to stretches of 32 starts, keyed by what these share."""
@@ -286,7 +291,7 @@ def remove_repeats(docs: DataFrame, how: Repeats | None = None) -> DataFrame:
     single = single.join(twice, "digest").select("doc_id", "th", "a", (F.col("a") + length).alias("b"))
     found = small.groupBy("shard").applyInPandas(sort, "doc_id long, th long, a long, b long").union(single)
     found = found.groupBy("doc_id", "th").agg(F.collect_list(F.struct("a", "b")).alias("found"))
-    rest = open_.alias("d").join(found.alias("o"), (F.col("d.th") == F.col("o.th")) & F.col("d.doc_id").eqNullSafe(F.col("o.doc_id")), "left").select("d.doc_id", "d.text", "d.spans", "o.found")
+    rest = open_.alias("d").join(found.alias("o"), (F.col("d.th") == F.col("o.th")) & F.col("d.doc_id").eqNullSafe(F.col("o.doc_id")), "left").select("d.doc_id", "d.text", "d.spans", "o.found", *with_)
 
     def last(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -294,10 +299,11 @@ def remove_repeats(docs: DataFrame, how: Repeats | None = None) -> DataFrame:
             for doc_id, text, spans, more in batch[["doc_id", "text", "spans", "found"]].itertuples(index=False):
                 both = [*spans, *([] if more is None else more)]
                 out.append({"doc_id": doc_id, **_cut(text.encode("utf-8", "surrogatepass"), _merged([(x["a"], x["b"]) for x in both]))})
-            yield pd.DataFrame(out, columns=["doc_id", *RESULT])
+            yield pd.DataFrame(out, columns=["doc_id", *RESULT]).assign(**{w: batch[w].to_numpy() for w in with_})
 
-    closed = met.where("done").select("doc_id", *RESULT)
-    return closed.union(rest.mapInPandas(last, closed.schema))
+    closed = met.where("done").select("doc_id", *RESULT, *with_)
+    both = closed.union(rest.mapInPandas(last, closed.schema))
+    return both.select("doc_id", *RESULT, *(F.col(w).alias(c) for c, w in zip(carry, with_, strict=True)))
 
 
 RESULT = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]

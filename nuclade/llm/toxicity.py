@@ -352,18 +352,19 @@ def train(docs: DataFrame, labels: DataFrame, fit: Fit | None = None) -> Model:
     return Model(automaton, scores, rates, stems, (none[0] + base) / (none[1] + 1), fit.window, terms)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
+def score(docs: DataFrame, model: Model, carry: list[str] | None = None) -> DataFrame:
     """``(doc_id, held_out, score, predicted)`` of each row of ``docs(doc_id, text)``.
 
     Texts that are null, empty or without any hit have the score of training
     rows without hits. Rows that repeat an id are each scored. Label, language,
-    source and id are not read. Other columns are ignored.
+    source and id are not read. Other columns are ignored, but for those in
+    ``carry``, which come back beside the four (doc_id only once).
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [model.score(x) for x in hits(batch["text"].tolist(), model.automaton, model.window)]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "score": np.array(found, dtype=float)})
+    @F.pandas_udf("double")
+    def rate(texts: pd.Series) -> pd.Series:
+        return pd.Series([model.score(x) for x in hits(texts.tolist(), model.automaton, model.window)], dtype=float)
 
-    scored = docs.select("doc_id", "text").mapInPandas(run, "doc_id long, score double")
-    return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    more = [c for c in carry or [] if c != "doc_id"]
+    scored = docs.select("doc_id", *more, rate("text").alias("score"))
+    return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), *more)
