@@ -29,14 +29,15 @@ from .common import drop, keep
 @dataclass(frozen=True)
 class Graph:
     #: Neighbours of a node, and of those each way that a local join takes.
-    degree: int = 20
-    sample: int = 16
-    rounds: int = 3
+    degree: int = 30
+    sample: int = 24
+    rounds: int = 4
     #: Random-projection trees that give the first neighbours; rows of a leaf, about.
-    trees: int = 4
-    leaf: int = 100
-    #: Length of a query's list, and most steps of a search.
-    beam: int = 48
+    trees: int = 8
+    leaf: int = 400
+    #: Length of a query's list, of which so many are expanded in a step, and most steps of a search.
+    beam: int = 80
+    expand: int = 32
     steps: int = 12
     seed: int = 13
 
@@ -54,6 +55,20 @@ def _matrix(rows, width: int, kind=np.float32) -> np.ndarray:
     return out
 
 
+def _codes(rows: list, width: int) -> list[bytes]:
+    """Each vector as a float32 scale and int8 components, which is what the graph is built from."""
+    x = _matrix(rows, width)
+    scale = np.abs(x).max(axis=1, initial=0) / 127
+    scale[scale == 0] = 1
+    q = np.rint(x / scale[:, None]).astype(np.int8)
+    return [a.tobytes() + b.tobytes() for a, b in zip(scale.astype(np.float32), q, strict=True)]
+
+
+def _decoded(codes: list[bytes]) -> np.ndarray:
+    raw = np.frombuffer(b"".join(codes), dtype=np.uint8).reshape(len(codes), -1)
+    return raw[:, 4:].view(np.int8).astype(np.float32) * np.ascontiguousarray(raw[:, :4]).view(np.float32)
+
+
 def _nearest(x: np.ndarray, ids: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The n nearest rows of each row among all of ``x``, as (row's id, other's id, distance)."""
     square = (x * x).sum(axis=1)
@@ -79,7 +94,13 @@ class Index:
         n, width = self.nodes.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
         self.n, self.width = n, width or 0
         #: A vec_id with several vectors would be several nodes of one name: nodes are named by their content.
-        self.nodes = self.nodes.withColumn("node", F.xxhash64("same", "id"))
+        width = self.width
+
+        @F.pandas_udf("binary")
+        def code(vectors: pd.Series) -> pd.Series:
+            return pd.Series(_codes(vectors.tolist(), width), dtype=object)
+
+        self.nodes = keep(self.nodes.select("same", "id", "vector", F.xxhash64("same", "id").alias("node"), code("vector").alias("code")))
         self.graph = self._build() if n > 1 else None
 
     def _blocks(self, rows_each: int) -> int:
@@ -112,18 +133,18 @@ class Index:
         sizes = leaves.groupBy("leaf").agg(F.count(F.lit(1)).alias("size"))
         parts = F.ceil(F.col("size") / (4 * self.how.leaf))
         leaves = leaves.join(sizes, "leaf").select("node", F.xxhash64("leaf", F.pmod(F.xxhash64("node"), parts)).alias("leaf"))
-        return leaves.join(self.nodes.select("node", "vector"), "node")
+        return leaves.join(self.nodes.select("node", "code"), "node")
 
     def _top(self, edges: DataFrame) -> DataFrame:
         best = Window.partitionBy("u").orderBy("d", "v")
         return edges.groupBy("u", "v").agg(F.min("d").alias("d"), F.min("new").alias("new")).withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= self.how.degree)
 
     def _build(self) -> DataFrame:
-        how, width = self.how, self.width
+        how = self.how
         bins = self._blocks(2000)
 
         def first(batch: pd.DataFrame) -> pd.DataFrame:
-            out = [_nearest(_matrix(own["vector"].tolist(), width), own["node"].to_numpy(), how.degree) for _, own in batch.groupby("leaf")]
+            out = [_nearest(_decoded(own["code"].tolist()), own["node"].to_numpy(), how.degree) for _, own in batch.groupby("leaf")]
             return pd.DataFrame({k: np.concatenate([x[i] for x in out]) for i, k in enumerate(("u", "v", "d"))})
 
         dealt = self._leaves().withColumn("bin", F.pmod("leaf", F.lit(bins * how.trees)))
@@ -135,17 +156,17 @@ class Index:
 
     def _descend(self, graph: DataFrame, turn: int, bins: int) -> DataFrame:
         """One round: neighbours of a node are compared with one another; pairs of which neither is new were compared before."""
-        how, width = self.how, self.width
+        how = self.how
         both = graph.select("u", "v", "new", "nth").union(graph.select(F.col("v").alias("u"), F.col("u").alias("v"), "new", "nth"))
         pick = Window.partitionBy("u").orderBy(F.col("new").desc(), F.xxhash64(F.lit(turn), "u", "v"))
         lists = both.groupBy("u", "v").agg(F.max("new").alias("new")).withColumn("k", F.row_number().over(pick)).where(F.col("k") <= 2 * how.sample)
         worst = graph.groupBy("u").agg(F.max("d").alias("worst"), F.count(F.lit(1)).alias("n")).select(F.col("u").alias("v"), F.when(F.col("n") >= how.degree, F.col("worst")).otherwise(float("inf")).alias("worst"))
-        dealt = lists.select("u", "v", "new").join(worst, "v", "left").join(self.nodes.select(F.col("node").alias("v"), "vector"), "v")
+        dealt = lists.select("u", "v", "new").join(worst, "v", "left").join(self.nodes.select(F.col("node").alias("v"), "code"), "v")
         dealt = dealt.withColumn("bin", F.pmod(F.xxhash64("u"), F.lit(bins * 4)))
 
         def run(batch: pd.DataFrame) -> pd.DataFrame:
             batch = batch.sort_values("u", kind="stable")
-            x, v = _matrix(batch["vector"].tolist(), width), batch["v"].to_numpy()
+            x, v = _decoded(batch["code"].tolist()), batch["v"].to_numpy()
             new, worst = batch["new"].to_numpy(dtype=bool), batch["worst"].fillna(np.inf).to_numpy(dtype=np.float32)
             square = (x * x).sum(axis=1)
             u = batch["u"].to_numpy()
@@ -177,7 +198,7 @@ class Index:
         fewer. With ``exclude_own`` a query isn't its own neighbour. Queries that
         aren't usable get no rows; repeated ones are answered once.
         """
-        how, width = self.how, self.width
+        how = self.how
         queries = keep(queries.select("query_id", F.col("vector").cast("array<float>").alias("q")).where(usable(F.col("q")) & F.col("query_id").isNotNull()).dropDuplicates(["query_id"]))
         nodes = self.nodes.select("node", "vector", "id", "same")
         far = F.sqrt(F.aggregate(F.zip_with("q", "vector", lambda a, b: F.pow(F.coalesce(a, F.lit(0.0)).cast("double") - F.coalesce(b, F.lit(0.0)).cast("double"), 2)), F.lit(0.0), lambda a, b: a + b))
@@ -192,10 +213,12 @@ class Index:
             start = own.union(queries.select("query_id", F.explode(F.array(*map(F.lit, spread))).alias("node"))).distinct()
         beam = keep(start.join(queries, "query_id").join(nodes.select("node", "vector"), "node").select("query_id", "node", far.alias("d"), F.lit(False).alias("seen")))
         for _ in range(how.steps if self.graph is not None and self.n > 2 * how.beam else 0):
-            links = beam.where("not seen").join(self.graph.select(F.col("u").alias("node"), "v"), "node").select("query_id", F.col("v").alias("node")).distinct()
+            turn = Window.partitionBy("query_id").orderBy("seen", "d", "node")
+            beam_ = beam.withColumn("turn", F.row_number().over(turn)).withColumn("now", ~F.col("seen") & (F.col("turn") <= how.expand))
+            links = beam_.where("now").join(self.graph.select(F.col("u").alias("node"), "v"), "node").select("query_id", F.col("v").alias("node")).distinct()
             links = links.join(beam.select("query_id", "node"), ["query_id", "node"], "left_anti")
             found = links.join(queries, "query_id").join(nodes.select("node", "vector"), "node").select("query_id", "node", far.alias("d"), F.lit(False).alias("seen"))
-            after = beam.select("query_id", "node", "d", F.lit(True).alias("seen")).union(found)
+            after = beam_.select("query_id", "node", "d", (F.col("seen") | F.col("now")).alias("seen")).union(found)
             after = keep(after.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= how.beam).drop("nth"))
             drop(beam)
             beam = after
