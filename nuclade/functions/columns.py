@@ -65,4 +65,4 @@ def expected_error(qual: Column, offset: int = 33) -> Column:
 def words(seq: Column, k: int) -> Column:
     """Distinct unambiguous upper-case words of k symbols; lower case is masked."""
     every = F.transform(F.sequence(F.lit(1), F.greatest(F.length(seq) - k + 1, F.lit(1))), lambda i: F.substring(seq, i, F.lit(k)))
-    return F.array_distinct(F.filter(every, lambda w: F.regexp_like(w, F.lit(f"^[ACGTU]{{{k}}}$"))))
+    return F.array_distinct(F.filter(every, lambda w: (F.length(w) == k) & (F.translate(w, "ACGTU", "") == "")))

@@ -5,12 +5,13 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions import columns as C
 from ..functions.kernels import dust
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def dust_masked(seq: pd.Series) -> pd.Series:
     return seq.map(lambda x: None if x is None else dust(x))
 

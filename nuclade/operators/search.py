@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
 from ..functions import columns as C
@@ -230,7 +231,7 @@ def sam(hits: DataFrame) -> DataFrame:
     return hits.select(F.col("q_header").alias("qname"), (rank + F.when(F.col("strand") == 1, 16).otherwise(0)).alias("flag"), F.col("t_header").alias("rname"), F.lit(1).alias("pos"), F.lit(255).alias("mapq"), turned.alias("cigar"), F.col("q_seq").alias("seq"), F.format_string("AS:i:%d\tXN:i:0\tXM:i:%d\tXO:i:%d\tXG:i:%d\tNM:i:%d\tMD:Z:%s\tYT:Z:UU", F.round("id").cast("int"), "mism", "int_gaps", "int_indels", F.col("mism") + F.col("int_indels"), md("q_seq", "t_seq", "cigar")).alias("tags"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def md(q: pd.Series, t: pd.Series, cigar: pd.Series) -> pd.Series:
     """Matches by number, mismatched target symbols, and target symbols that the query lacks after ``^``."""
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import columns as C
 
@@ -68,10 +69,12 @@ def relabel(reads: DataFrame, how: str = "prefix", prefix: str = "seq", suffix:
 
 
 def numbered(rows: DataFrame, order: list) -> DataFrame:
-    """Rows with their place ``nth``, from 1, in a global order, by a range sort and counts of its partitions."""
-    placed = rows.orderBy(*order).withColumn("_part", F.spark_partition_id()).withColumn("_id", F.monotonically_increasing_id())
-    from pyspark.sql.window import Window
+    """Rows with their place ``nth``, from 1, in a global order, by a range sort and counts of its partitions.
 
+    The sorted rows are persisted, so that the counts and the rows see the same
+    partitions whatever the optimizer prunes or coalesces in either branch.
+    """
+    placed = rows.orderBy(*order).withColumn("_part", F.spark_partition_id()).withColumn("_id", F.monotonically_increasing_id()).persist()
     counts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).select("_part", "_first", "_before")
@@ -91,24 +94,18 @@ def rereplicate(reads: DataFrame) -> DataFrame:
 def cut(reads: DataFrame, pattern: str = "G^AATT_C") -> DataFrame:
     """Fragments ``(seqno, part, strand, seq)`` between the sites of a restriction pattern; reads without a site give none.
 
-    ``^`` and ``_`` mark the cuts of the forward and the reverse strand. Sites may
-    overlap, so every offset is tried.
+    ``^`` and ``_`` mark the cuts of the forward and the reverse strand. A cut is a
+    place between what comes before and after it in the pattern, so sites may
+    overlap and one pass of a regular expression finds them all.
     """
-    site = pattern.replace("^", "").replace("_", "").upper()
-    ahead, behind = pattern.replace("_", "").index("^"), pattern.replace("^", "").index("_")
-    groups = {s: "".join(b for b, bit in zip("ACGT", (1, 2, 4, 8), strict=True) if bits & bit) for s, bits in C.IUPAC.items()}
-    regex = "".join(f"[{''.join(s for s, bits in C.IUPAC.items() if bits & C.IUPAC[x])}]" if len(groups[x]) > 1 else f"[{x}]" for x in site)
-    upper = F.upper(F.col("seq"))
-    every = F.sequence(F.lit(1), F.greatest(F.length("seq") - len(site) + 1, F.lit(1)))
-    found = F.filter(every, lambda i: F.regexp_like(F.substring(upper, i, F.lit(len(site))), F.lit(f"^{regex}$")))
-    sites = reads.withColumn("sites", found).where(F.size("sites") > 0)
-
-    def fragments(at: int, strand: int):
-        ends = F.concat(F.transform("sites", lambda i: i - 1 + at), F.array(F.length("seq")))
-        starts = F.concat(F.array(F.lit(0)), F.transform("sites", lambda i: i - 1 + at))
-        parts = F.arrays_zip(starts.alias("a"), ends.alias("b"))
-        out = sites.select("seqno", "seq", F.posexplode(parts).alias("part", "x")).select("seqno", "part", F.lit(strand).alias("strand"), F.substring("seq", F.col("x.a") + 1, F.col("x.b") - F.col("x.a")).alias("seq"))
-        out = out.withColumn("seq", C.reverse_complement(F.col("seq"))) if strand else out
+    bits = lambda x: [s for s, b in C.IUPAC.items() if b & C.IUPAC[x.upper()]]
+    regex = lambda part: "".join(f"[{''.join(bits(x))}]" for x in part)
+
+    def fragments(mark: str, other: str, strand: int) -> DataFrame:
+        before, after = pattern.replace(other, "").split(mark)
+        parts = F.split(F.regexp_replace("seq", f"(?i)(?<={regex(before)})(?={regex(after)})", "|"), r"\|")
+        out = reads.select("seqno", parts.alias("parts")).where(F.size("parts") > 1).select("seqno", F.posexplode("parts").alias("part", "seq"))
+        out = out.select("seqno", "part", F.lit(strand).alias("strand"), C.reverse_complement(F.col("seq")).alias("seq") if strand else F.col("seq"))
         return out.where(F.length("seq") > 0)
 
-    return fragments(ahead, 0).union(fragments(behind, 1))
+    return fragments("^", "_", 0).union(fragments("_", "^", 1))
