@@ -25,7 +25,7 @@ from .shingles import shingle_sets
 #: Texts of a block in verification, and rows of texts in one task's group.
 BLOCK, GROUP = 128, 1500
 #: Shingles of a tile's side.
-TILE = 400_000
+TILE = 1_200_000
 
 
 @dataclass(frozen=True)
