@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 from ..functions.columns import COMPLEMENTS, SYMBOLS
-from ..schema import BASES, DIGITS, LETTERS
+from ..schema import BASES, DIGITS, ITEM, LETTERS, LONGEST
 from ..schema import SYMBOLS as QUALS
 from .queries import LABELS
 
 
 def _reads(name: str, table: str, key: str, sample: str, prefix: str) -> str:
     return f"""{name}_lines AS (SELECT {key} AS id, {sample} AS sample, unnest(string_split(text, chr(10))) AS words, unnest(range(len(string_split(text, chr(10))))) AS line FROM {table}),
-{name}_raw AS (SELECT id, line, sample, md5(words) AS digest, upper(translate(regexp_replace(lower(words), '[^a-z]', '', 'g'), '{LETTERS}', '{BASES}')) AS seq FROM {name}_lines),
-{name} AS (SELECT id * 1000000 + line AS seqno, '{prefix}' || id || '.' || line || ';size=' || (1 + id % 7) AS header, seq, substr(translate(repeat(digest, length(seq) // 32 + 1), '{DIGITS}', '{QUALS}'), 1, length(seq)) AS qual, 1 + id % 7 AS size, sample FROM {name}_raw WHERE length(seq) > 0)"""
+{name}_seqs AS (SELECT *, regexp_extract_all(upper(translate(regexp_replace(lower(words), '[^a-z]', '', 'g'), '{LETTERS}', '{BASES}')), '.{{1,{LONGEST}}}') AS seqs FROM {name}_lines),
+{name}_raw AS (SELECT id, line, sample, words, unnest(seqs) AS seq, unnest(range(len(seqs))) AS piece FROM {name}_seqs),
+{name} AS (SELECT id * {ITEM} + line * 1000 + piece AS seqno, '{prefix}' || id || '.' || line || '.' || piece || ';size=' || (1 + id % 7) AS header, seq, substr(translate(repeat(md5(words || '#' || piece), length(seq) // 32 + 1), '{DIGITS}', '{QUALS}'), 1, length(seq)) AS qual, 1 + id % 7 AS size, sample FROM {name}_raw WHERE length(seq) > 0)"""
 
 
 READS = _reads("reads", "documents", "doc_id", "source", "d")
@@ -63,7 +64,7 @@ SOFT = f"""{RUNS},
 soft AS (SELECT seqno, string_agg(CASE WHEN len >= 3 THEN lower(repeat(s, len)) ELSE repeat(s, len) END, '' ORDER BY a) AS seq FROM stretches GROUP BY seqno)"""
 
 EXACT = "hits AS (SELECT q.seqno AS q, t.seqno AS t, q.header AS q_header, t.header AS t_header, q.size AS q_size, length(q.seq) AS n FROM {q} q JOIN {t} t ON q.seq = t.seq)"
-TAX = "concat('d:d', (seqno // 1000000) % 2, ',p:p', (seqno // 1000000) % 4, ',g:g', (seqno // 1000000) % 8, ',s:s', (seqno // 1000000) % 64)"
+TAX = "concat('d:d', (seqno // {0}) % 2, ',p:p', (seqno // {0}) % 4, ',g:g', (seqno // {0}) % 8, ',s:s', (seqno // {0}) % 64)".format(ITEM)
 SITES = """at_ AS (SELECT seqno, seq, unnest(range(1, length(seq) - 1)) AS i FROM reads WHERE length(seq) >= 3),
 sites AS (SELECT seqno, seq, i FROM at_ WHERE regexp_full_match(substr(seq, i, 3), 'G[AG]C')),
 cuts AS (SELECT seqno, seq, i, 0 AS strand, i - 1 + 1 AS cut FROM sites UNION ALL SELECT seqno, seq, i, 1, i - 1 + 3 FROM sites),

@@ -1,6 +1,6 @@
 """Queries over the driver's tables: each operator applied to whole tables of reads.
 
-Reads are all lines of ``documents``; references are all lines of ``benchmark``.
+Reads are all lines of ``documents`` in pieces, and references those of ``benchmark``.
 """
 
 from __future__ import annotations
@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import chimera, cluster, derep, filters, kmers, order, quality, search, tables, transforms
-from ..schema import reads, refs
+from ..schema import ITEM, reads, refs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-LABELS = ["d1.0;size=2", "D2.0;SIZE=3", "d10.1;size=4"]
+LABELS = ["d1.0.0;size=2", "D2.0.0;SIZE=3", "d10.1.0;size=4"]
 
 
 def query(f: Query) -> Query:
@@ -34,7 +34,7 @@ def pairs(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def tax(rows: DataFrame) -> DataFrame:
     """References with a taxonomy from their number."""
-    i = F.floor(F.col("seqno") / 1000000)
+    i = F.floor(F.col("seqno") / ITEM)
     name = lambda r, m: F.concat(F.lit(f"{r}:{r}"), (i % m).cast("string"))
     return rows.withColumn("header", F.concat("header", F.lit(";tax="), F.array_join(F.array(name("d", 2), name("p", 4), name("g", 8), name("s", 64)), ",")))
 
@@ -463,12 +463,12 @@ def fastq_mergepairs(spark, d):
 
 def _chimeric(rows: DataFrame) -> DataFrame:
     """Reads made of the first half of one reference and the second half of the next."""
-    long_ = rows.where(F.length("seq") >= 100).withColumn("item", F.floor(F.col("seqno") / 1000000))
+    long_ = rows.where(F.length("seq") >= 100).withColumn("item", F.floor(F.col("seqno") / ITEM))
     one = long_.groupBy("item").agg(F.min(F.struct("seqno", "header", "seq", "size"))["seq"].alias("seq"), F.min("seqno").alias("seqno"), F.min("size").alias("size"))
     other = one.select((F.col("item") - 1).alias("item"), F.col("seq").alias("seq2"))
     half = lambda c: F.floor(F.length(c) / 2).cast("int")
     both = one.join(other, "item")
-    return both.select((F.col("seqno") + 500000).alias("seqno"), F.concat(F.lit("c"), F.col("item").cast("string"), F.lit(";size=1")).alias("header"), F.concat(F.substring("seq", F.lit(1), half("seq")), F.substring("seq2", half("seq2") + 1, F.length("seq2"))).alias("seq"), F.lit(None).cast("string").alias("qual"), F.lit(1).cast("long").alias("size"), F.lit(None).cast("string").alias("sample"))
+    return both.select((F.col("seqno") + ITEM // 2).alias("seqno"), F.concat(F.lit("c"), F.col("item").cast("string"), F.lit(";size=1")).alias("header"), F.concat(F.substring("seq", F.lit(1), half("seq")), F.substring("seq2", half("seq2") + 1, F.length("seq2"))).alias("seq"), F.lit(None).cast("string").alias("qual"), F.lit(1).cast("long").alias("size"), F.lit(None).cast("string").alias("sample"))
 
 
 @query

@@ -13,17 +13,25 @@ from pyspark.sql import functions as F
 LETTERS, BASES = "abcdefghijklmnopqrstuvwxyz", "acgtacgtacgtacgtacgtacgtac"
 DIGITS, SYMBOLS = "0123456789abcdef", "%(+.147:=@CFGHIJ"
 
+#: Nucleotides of a read at most, and the seqno of a text's first read by its id.
+LONGEST, ITEM = 250, 100_000_000
 READ = "seqno long, header string, seq string, qual string, size long, sample string"
 
 
 def reads_of(table: DataFrame, key: str, sample: str | None, prefix: str) -> DataFrame:
-    """Every line of every text as a read; its letters are mapped to nucleotides, its digest to qualities."""
+    """Every line of every text as reads of ``LONGEST`` nucleotides at most.
+
+    A line's letters are mapped to nucleotides, its digest and the read's number
+    to qualities; the whole text is used.
+    """
     lines = table.select(F.col(key).alias("id"), (F.col(sample) if sample else F.lit(None).cast("string")).alias("sample"), F.posexplode(F.split("text", "\n")).alias("line", "words"))
     seq = F.upper(F.translate(F.regexp_replace(F.lower("words"), "[^a-z]", ""), LETTERS, BASES))
-    rows = lines.select((F.col("id") * 1000000 + F.col("line")).alias("seqno"), "id", "line", "sample", seq.alias("seq"), F.md5("words").alias("digest"))
-    return rows.where(F.length("seq") > 0).select(
-        "seqno",
-        F.concat(F.lit(prefix), F.col("id").cast("string"), F.lit("."), F.col("line").cast("string"), F.lit(";size="), (1 + F.col("id") % 7).cast("string")).alias("header"),
+    rows = lines.select("id", "line", "sample", "words", F.posexplode(F.regexp_extract_all(seq, F.lit(f".{{1,{LONGEST}}}"), 0)).alias("piece", "seq"))
+    number = lambda *x: F.concat_ws(".", *[F.col(c).cast("string") for c in x])
+    rows = rows.withColumn("digest", F.md5(F.concat("words", F.lit("#"), F.col("piece").cast("string"))))
+    return rows.select(
+        (F.col("id") * ITEM + F.col("line") * 1000 + F.col("piece")).alias("seqno"),
+        F.concat(F.lit(prefix), number("id", "line", "piece"), F.lit(";size="), (1 + F.col("id") % 7).cast("string")).alias("header"),
         "seq",
         F.expr(f"substring(translate(repeat(digest, cast(length(seq) div 32 as int) + 1), '{DIGITS}', '{SYMBOLS}'), 1, length(seq))").alias("qual"),
         (1 + F.col("id") % 7).cast("long").alias("size"),
