@@ -55,28 +55,29 @@ def _matrix(rows, width: int, kind=np.float32) -> np.ndarray:
     return out
 
 
-def _codes(rows: list, width: int) -> list[bytes]:
-    """Each vector as a float32 scale and int8 components, which is what the graph is built from."""
-    x = _matrix(rows, width)
-    scale = np.abs(x).max(axis=1, initial=0) / 127
-    scale[scale == 0] = 1
-    q = np.rint(x / scale[:, None]).astype(np.int8)
-    return [a.tobytes() + b.tobytes() for a, b in zip(scale.astype(np.float32), q, strict=True)]
+def _packed(rows: list, width: int) -> list[bytes]:
+    """Each vector's float32 components, padded; rounding them further would make the members of a tight group equal."""
+    return [x.tobytes() for x in _matrix(rows, width)]
 
 
-def _decoded(codes: list[bytes]) -> np.ndarray:
-    raw = np.frombuffer(b"".join(codes), dtype=np.uint8).reshape(len(codes), -1)
-    return raw[:, 4:].view(np.int8).astype(np.float32) * np.ascontiguousarray(raw[:, :4]).view(np.float32)
+def _unpacked(packed: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(packed), dtype=np.float32).reshape(len(packed), -1)
+
+
+def _square(x: np.ndarray) -> np.ndarray:
+    """Squared distances of all rows, in double precision from the first row, so that near copies keep their order."""
+    x = x.astype(np.float64) - x[0]
+    square = (x * x).sum(axis=1)
+    return np.maximum(square[:, None] + square[None] - 2 * (x @ x.T), 0)
 
 
 def _nearest(x: np.ndarray, ids: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The n nearest rows of each row among all of ``x``, as (row's id, other's id, distance)."""
-    square = (x * x).sum(axis=1)
-    far = square[:, None] + square[None] - 2 * (x @ x.T)
+    far = _square(x)
     np.fill_diagonal(far, np.inf)
     n = min(n, len(x) - 1)
     at = np.argpartition(far, n - 1, axis=1)[:, :n] if n else np.zeros((len(x), 0), dtype=int)
-    return np.repeat(ids, n), ids[at].ravel(), np.sqrt(np.maximum(np.take_along_axis(far, at, axis=1), 0)).ravel()
+    return np.repeat(ids, n), ids[at].ravel(), np.sqrt(np.take_along_axis(far, at, axis=1)).ravel()
 
 
 EDGE = "u long, v long, d float"
@@ -97,10 +98,10 @@ class Index:
         width = self.width
 
         @F.pandas_udf("binary")
-        def code(vectors: pd.Series) -> pd.Series:
-            return pd.Series(_codes(vectors.tolist(), width), dtype=object)
+        def packed(vectors: pd.Series) -> pd.Series:
+            return pd.Series(_packed(vectors.tolist(), width), dtype=object)
 
-        self.nodes = keep(self.nodes.select("same", "id", "vector", F.xxhash64("same", "id").alias("node"), code("vector").alias("code")))
+        self.nodes = keep(self.nodes.select("same", "id", "vector", F.xxhash64("same", "id").alias("node"), packed("vector").alias("packed")))
         self.graph = self._build() if n > 1 else None
 
     def _blocks(self, rows_each: int) -> int:
@@ -133,7 +134,7 @@ class Index:
         sizes = leaves.groupBy("leaf").agg(F.count(F.lit(1)).alias("size"))
         parts = F.ceil(F.col("size") / (4 * self.how.leaf))
         leaves = leaves.join(sizes, "leaf").select("node", F.xxhash64("leaf", F.pmod(F.xxhash64("node"), parts)).alias("leaf"))
-        return leaves.join(self.nodes.select("node", "code"), "node")
+        return leaves.join(self.nodes.select("node", "packed"), "node")
 
     def _top(self, edges: DataFrame) -> DataFrame:
         best = Window.partitionBy("u").orderBy("d", "v")
@@ -144,7 +145,7 @@ class Index:
         bins = self._blocks(2000)
 
         def first(batch: pd.DataFrame) -> pd.DataFrame:
-            out = [_nearest(_decoded(own["code"].tolist()), own["node"].to_numpy(), how.degree) for _, own in batch.groupby("leaf")]
+            out = [_nearest(_unpacked(own["packed"].tolist()), own["node"].to_numpy(), how.degree) for _, own in batch.groupby("leaf")]
             return pd.DataFrame({k: np.concatenate([x[i] for x in out]) for i, k in enumerate(("u", "v", "d"))})
 
         dealt = self._leaves().withColumn("bin", F.pmod("leaf", F.lit(bins * how.trees)))
@@ -161,19 +162,18 @@ class Index:
         pick = Window.partitionBy("u").orderBy(F.col("new").desc(), F.xxhash64(F.lit(turn), "u", "v"))
         lists = both.groupBy("u", "v").agg(F.max("new").alias("new")).withColumn("k", F.row_number().over(pick)).where(F.col("k") <= 2 * how.sample)
         worst = graph.groupBy("u").agg(F.max("d").alias("worst"), F.count(F.lit(1)).alias("n")).select(F.col("u").alias("v"), F.when(F.col("n") >= how.degree, F.col("worst")).otherwise(float("inf")).alias("worst"))
-        dealt = lists.select("u", "v", "new").join(worst, "v", "left").join(self.nodes.select(F.col("node").alias("v"), "code"), "v")
+        dealt = lists.select("u", "v", "new").join(worst, "v", "left").join(self.nodes.select(F.col("node").alias("v"), "packed"), "v")
         dealt = dealt.withColumn("bin", F.pmod(F.xxhash64("u"), F.lit(bins * 4)))
 
         def run(batch: pd.DataFrame) -> pd.DataFrame:
             batch = batch.sort_values("u", kind="stable")
-            x, v = _decoded(batch["code"].tolist()), batch["v"].to_numpy()
+            x, v = _unpacked(batch["packed"].tolist()), batch["v"].to_numpy()
             new, worst = batch["new"].to_numpy(dtype=bool), batch["worst"].fillna(np.inf).to_numpy(dtype=np.float32)
-            square = (x * x).sum(axis=1)
             u = batch["u"].to_numpy()
             cut = np.concatenate([[0], np.flatnonzero(u[1:] != u[:-1]) + 1, [len(u)]])
             out = []
             for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-                far = np.sqrt(np.maximum(square[a:b, None] + square[None, a:b] - 2 * (x[a:b] @ x[a:b].T), 0))
+                far = np.sqrt(_square(x[a:b]))
                 good = (far < worst[a:b, None]) & (new[a:b, None] | new[None, a:b])
                 np.fill_diagonal(good, False)
                 i, j = np.nonzero(good)

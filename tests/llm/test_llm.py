@@ -156,6 +156,24 @@ def test_neighbours_recall_and_order(spark):
     assert search_every(df.where("false")).count() == 0
 
 
+def test_neighbours_within_a_group_of_near_copies(spark):
+    from nuclade.llm.annsearch import search_every
+
+    rng = np.random.default_rng(11)
+    group = rng.standard_normal(64) + 0.0005 * rng.standard_normal((2000, 16)) @ rng.standard_normal((16, 64)) / 4
+    x = np.concatenate([group, rng.standard_normal((500, 64))]).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    out = search_every(df, every=40).where("query_id < 2000").collect()
+    found = {q: {r.vec_id for r in out if r.query_id == q} for q in range(0, 2000, 40)}
+    wide = x.astype(np.float64)
+    hits = 0
+    for q, own in found.items():
+        d = ((wide - wide[q]) ** 2).sum(axis=1)
+        d[q] = np.inf
+        hits += len(own & set(np.argsort(d)[:10].tolist()))
+    assert hits / (10 * len(found)) > 0.9
+
+
 def test_links_of_vectors_are_exact(spark):
     from nuclade.llm.embdedup import Tiles, near_duplicates
 
