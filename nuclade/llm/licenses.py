@@ -1,19 +1,24 @@
 """License scans by sentence rules, in DataFrame functions only.
 
-A text is cut into sentences, each sentence normalised and mapped to the
-identifier of a known license sentence; the identifiers, in order, are matched
-against ordered rules, where a rule that matches uses its sentences up, so that
-longer rules come first.
+A text is normalised with its line breaks, sentence ends and blank lines marked.
+A known sentence is found from one mark to another, over line breaks but neither
+over a sentence end nor a blank line, and mapped to its identifiers; these, in
+order, are matched against ordered rules, where a rule that matches uses its
+sentences up, so that longer rules come first.
 
 Scale: everything happens within a row. There is no shuffle, no join and no
 broadcast; the known sentences are a literal map of fixed size.
+
+The SQL knows ``SENTENCES`` and ``RULES`` within one line only. ``FORMS`` and
+``MORE_RULES`` hold what the standard headers have besides.
 """
 
 from __future__ import annotations
 
+import re
 from itertools import chain
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Known sentences, normalised, by identifier.
@@ -69,31 +74,80 @@ RULES = [
     ("LicenseRef-reserved", ["allRights"]),
 ]
 
+GPL = "you can redistribute it and or modify it under the terms of the gnu general public license"
+LGPL = "you can redistribute it and or modify it under the terms of the gnu lesser general public license"
+FSF = "as published by the free software foundation"
+LATER = "or at your option any later version"
+#: Other forms of sentences, normalised, and the sentences they stand for; ``|`` is a sentence end within.
+FORMS = {
+    "licensed under the apache license version 2.0 the license": ["apacheLic"],
+    "the asf licenses this file to you under the apache license version 2.0 the license": ["apacheLic"],
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement": ["asIs"],
+    f"{GPL} version 2 {FSF}": ["gplTerms", "gplVersion2"],
+    f"{GPL} version 3 {FSF}": ["gplTerms", "gplVersion3"],
+    f"{LGPL} {FSF}": ["lgplTerms"],
+    "version 2.1 of the license": ["lgplVersion21"],
+    "this source code form is subject to the terms of the mozilla public license v|2.0": ["mplTerms"],
+    "this work is licensed under cc by nc 4.0": ["ccByNc4"],
+    "this work is licensed under cc by sa 4.0": ["ccBySa4"],
+    "this work is licensed under cc by 4.0": ["ccBy4"],
+    "this work is licensed under a creative commons attribution noncommercial 4.0 international license": ["ccByNc4"],
+    "this work is licensed under a creative commons attribution sharealike 4.0 international license": ["ccBySa4"],
+    "this work is licensed under a creative commons attribution 4.0 international license": ["ccBy4"],
+    f"this work is licensed under the gnu general public license version 3 {LATER}": ["gplWork3", "orLater"],
+}
+for _start, _terms in (("", []), (f"{GPL} {FSF} ", ["gplTerms"]), (f"{LGPL} {FSF} ", ["lgplTerms"])):
+    for _number, _version in (("2", "gplVersion2"), ("2.1", "lgplVersion21"), ("3", "gplVersion3")):
+        FORMS[f"{_start}either version {_number} of the license {LATER}"] = [*_terms, _version, "orLater"]
+        if _terms:
+            FORMS[f"{_start}version {_number} of the license"] = [*_terms, _version]
+#: Rules tried after ``RULES``.
+MORE_RULES = [
+    ("LGPL-2.1-or-later", ["lgplTerms", "lgplVersion21", "orLater"]),
+    ("LGPL-3.0-or-later", ["lgplTerms", "gplVersion3", "orLater"]),
+    ("LGPL-2.1-only", ["lgplTerms", "lgplVersion21"]),
+    ("LGPL-3.0-only", ["lgplTerms", "gplVersion3"]),
+]
+
 ENDS = r"([.!?;:])[ \t\r\n\f]+"
 OTHER = r"[^a-z0-9.]+"
 EDGES = r"^[ .]+|[ .]+$"
+#: What a line starts with before its first letter or digit, comment marks too.
+MARKS = r"(^|\n)[^a-z0-9\n]+"
 
 
 def _pattern(ids: list[str]) -> str:
     return "".join(f"<{x}>" for x in ids)
 
 
+def _marked(text: Column) -> Column:
+    """Normalised text, a newline where a line breaks and ``|`` where a sentence ends, at blank lines and both ends."""
+    text = F.translate(F.lower(F.coalesce(text, F.lit(""))), "|", "_")
+    text = F.regexp_replace(F.regexp_replace(text, MARKS, "$1"), ENDS, "$1|")
+    text = F.regexp_replace(F.regexp_replace(text, r"\n\n+", "|"), r"[^a-z0-9.\n|]+", " ")
+    return F.regexp_replace(F.concat(F.lit("|"), text, F.lit("|")), r"[ .]*([\n|])[ .]*", "$1")
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """``(doc_id, n_sentences, sequence, licenses, n_unused)`` of each row of ``docs(doc_id, text)``.
 
-    ``n_sentences`` counts those that are known, ``sequence`` lists them in
-    order as ``<id>``, ``licenses`` the licenses whose rules matched, sorted and
-    joined by commas, ``n_unused`` the known sentences that no rule used. A text
-    that is null, empty or without known sentences has zero, two empty strings
-    and zero. Other columns are ignored; repeated rows are each scanned.
+    ``n_sentences`` counts those that are known, of a form that stands for
+    several each, ``sequence`` lists them in order as ``<id>``, ``licenses`` the
+    licenses whose rules matched, sorted and joined by commas, ``n_unused`` the
+    known sentences that no rule used. A text that is null, empty or without
+    known sentences has zero, two empty strings and zero. Other columns are
+    ignored; repeated rows are each scanned.
     """
-    known = F.create_map(*chain.from_iterable((F.lit(text), F.lit(f"<{name}>")) for name, text in SENTENCES.items()))
-    lines = F.split(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), ENDS, "$1\n"), "\n")
-    ids = F.transform(lines, lambda x: F.regexp_replace(F.regexp_replace(x, OTHER, " "), EDGES, ""))
-    ids = F.filter(F.transform(ids, lambda x: F.element_at(known, x)), lambda x: x.isNotNull())
-    rows = docs.select("doc_id", ids.alias("ids")).select("doc_id", F.size("ids").alias("n"), F.array_join("ids", "").alias("sequence"))
+    forms = {text: [name] for name, text in SENTENCES.items()} | FORMS
+    known = F.create_map(*chain.from_iterable((F.lit(text), F.lit(_pattern(names))) for text, names in forms.items()))
+    # The longest form first, as one may start another.
+    one = "|".join(re.escape(x).replace("\\ ", "[ \\n]").replace("\\|", "\\|+") for x in sorted(forms, key=len, reverse=True))
+    found = F.regexp_extract_all(_marked(F.col("text")), F.lit(rf"[\n|]({one})(?=[\n|])"), F.lit(1))
+    ids = F.transform(found, lambda x: F.element_at(known, F.regexp_replace(F.translate(x, "\n", " "), r"\|+", "|")))
+    rows = docs.select("doc_id", F.array_join(ids, "").alias("sequence"))
+    rows = rows.select("doc_id", "sequence", (F.length("sequence") - F.length(F.replace("sequence", F.lit("<")))).alias("n"))
     left, hits = F.col("sequence"), []
-    for name, rule in RULES:
+    for name, rule in [*RULES, *MORE_RULES]:
         hits.append(F.when(F.contains(left, F.lit(_pattern(rule))), F.lit(name)))
         left = F.replace(left, F.lit(_pattern(rule)), F.lit("|"))
     # Most rows have no known sentence; the rules are tried only on the others.

@@ -218,6 +218,75 @@ def test_license_rules(spark):
     assert len(out) == 12 and all((r.licenses, r.n_unused) == cases[r.doc_id][1:] for r in out)
 
 
+APACHE = """Copyright 2024 The Authors
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software"""
+MIT = """MIT License
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS BE LIABLE"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+BSD3 = f"""{BSD}
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission."""
+GPL3 = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version."""
+GPL2 = """This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation; either version 2 of the License, or
+(at your option) any later version."""
+LGPL21 = """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version."""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+CC = """This work is licensed under a Creative Commons
+Attribution-ShareAlike 4.0 International License."""
+
+
+def test_standard_headers_with_line_breaks(spark):
+    from nuclade.llm.licenses import scan
+
+    headers = [(APACHE, "Apache-2.0"), (MIT, "MIT"), (BSD, "BSD-2-Clause"), (BSD3, "BSD-3-Clause"), (GPL3, "GPL-3.0-or-later"), (GPL2, "GPL-2.0-or-later"), (GPL2.replace("; either", "; ").replace(", or\n(at your option) any later version", ""), "GPL-2.0-only"), (LGPL21, "LGPL-2.1-or-later"), (MPL, "MPL-2.0"), (CC, "CC-BY-SA-4.0")]
+    forms = [lambda x: x, lambda x: x.replace("\n", "\r\n")] + [lambda x, m=m: "\n".join(m + line for line in x.split("\n")) for m in (" * ", "// ", "# ", "; ", "    ")]
+    cases = [(form(f"Some words before\n{text}\n\nand after"), name) for text, name in headers for form in forms]
+    cases += [("Licensed under the\n\nMIT License", ""), ("Licensed under. the MIT License", ""), ("prose\nReleased under the MIT License\nprose", "MIT"), ("a|Released under the MIT License", "")]
+    out = {r.doc_id: r for r in scan(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")).collect()}
+    assert [(t, out[i].licenses, out[i].n_unused) for i, (t, _) in enumerate(cases)] == [(t, name, 0) for t, name in cases]
+
+
 # ---------------------------------------------------------------- 5, sentencepiece
 
 
