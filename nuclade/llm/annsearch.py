@@ -31,14 +31,15 @@ class Graph:
     #: Neighbours of a node, and of those each way that a local join takes.
     degree: int = 30
     sample: int = 24
+    #: Rounds at least; they go on until no more than this share of the edges is new.
     rounds: int = 4
+    settled: float = 0.01
     #: Random-projection trees that give the first neighbours; rows of a leaf, about.
     trees: int = 8
     leaf: int = 400
-    #: Length of a query's list, of which so many are expanded in a step, and most steps of a search.
+    #: Length of a query's list, of which so many are expanded in a step; a search ends when all were.
     beam: int = 80
     expand: int = 32
-    steps: int = 12
     seed: int = 13
 
 
@@ -117,7 +118,7 @@ class Index:
         """A row of each node for each tree: ``(leaf, node, vector)``, leaf a hash of the cuts' sides.
 
         Cuts go through the mean of a bounded sample, so leaves are of like size;
-        one that is still too large is split by hash.
+        one that is still too large is split by hash, in each tree otherwise.
         """
         planes, width = self.planes(), self.width
         some = self.nodes.select("vector").orderBy("node").limit(2000).collect()
@@ -133,7 +134,7 @@ class Index:
         leaves = self.nodes.select("node", "vector").mapInPandas(run, "leaf long, node long")
         sizes = leaves.groupBy("leaf").agg(F.count(F.lit(1)).alias("size"))
         parts = F.ceil(F.col("size") / (4 * self.how.leaf))
-        leaves = leaves.join(sizes, "leaf").select("node", F.xxhash64("leaf", F.pmod(F.xxhash64("node"), parts)).alias("leaf"))
+        leaves = leaves.join(sizes, "leaf").select("node", F.xxhash64("leaf", F.pmod(F.xxhash64("leaf", "node"), parts)).alias("leaf"))
         return leaves.join(self.nodes.select("node", "packed"), "node")
 
     def _top(self, edges: DataFrame) -> DataFrame:
@@ -151,8 +152,13 @@ class Index:
         dealt = self._leaves().withColumn("bin", F.pmod("leaf", F.lit(bins * how.trees)))
         edges = dealt.groupBy("bin").applyInPandas(first, EDGE).withColumn("new", F.lit(True))
         graph = keep(self._top(edges))
-        for turn in range(how.rounds):
+        turn, left = 0, True
+        while turn < how.rounds or left:
             graph = self._descend(graph, turn, bins)
+            turn += 1
+            if turn >= how.rounds:
+                edges, new = graph.agg(F.count(F.lit(1)), F.count_if("new")).first()
+                left = new > how.settled * edges
         return graph
 
     def _descend(self, graph: DataFrame, turn: int, bins: int) -> DataFrame:
@@ -212,7 +218,7 @@ class Index:
             spread = [r.node for r in self.nodes.select("node").orderBy("node").limit(how.beam // 2).collect()]
             start = own.union(queries.select("query_id", F.explode(F.array(*map(F.lit, spread))).alias("node"))).distinct()
         beam = keep(start.join(queries, "query_id").join(nodes.select("node", "vector"), "node").select("query_id", "node", far.alias("d"), F.lit(False).alias("seen")))
-        for _ in range(how.steps if self.graph is not None and self.n > 2 * how.beam else 0):
+        while self.graph is not None and self.n > 2 * how.beam and not beam.where("not seen").isEmpty():
             turn = Window.partitionBy("query_id").orderBy("seen", "d", "node")
             beam_ = beam.withColumn("turn", F.row_number().over(turn)).withColumn("now", ~F.col("seen") & (F.col("turn") <= how.expand))
             links = beam_.where("now").join(self.graph.select(F.col("u").alias("node"), "v"), "node").select("query_id", F.col("v").alias("node")).distinct()
@@ -222,8 +228,6 @@ class Index:
             after = keep(after.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= how.beam).drop("nth"))
             drop(beam)
             beam = after
-            if beam.where("not seen").isEmpty():
-                break
         # Copies: the k + 1 smallest ids of each node are enough, as one may be the query.
         first = Window.partitionBy("same").orderBy("vec_id")
         ids = self.rows.select("same", "vec_id").distinct().withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= k + 1)

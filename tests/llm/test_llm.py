@@ -174,6 +174,18 @@ def test_neighbours_within_a_group_of_near_copies(spark):
     assert hits / (10 * len(found)) > 0.9
 
 
+def test_trees_split_a_group_of_near_copies_each_otherwise(spark):
+    from nuclade.llm.annsearch import Graph, Index
+
+    rng = np.random.default_rng(12)
+    x = rng.standard_normal(64) + np.concatenate([np.zeros((200, 64)), np.ones((200, 64))]) + 1e-4 * rng.standard_normal((400, 64))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    index = Index(df, Graph(degree=5, sample=5, rounds=0, trees=3, leaf=10))
+    parts = index._leaves().groupBy("leaf").agg({"node": "collect_set"}).collect()
+    own = [frozenset(r[1]) for r in parts]
+    assert len(set(own)) == len(own) > 12
+
+
 def test_links_of_vectors_are_exact(spark):
     from nuclade.llm.embdedup import Tiles, near_duplicates
 
