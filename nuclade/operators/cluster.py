@@ -73,8 +73,9 @@ def cluster(reads: DataFrame, how: Search, order: str = "fast", block: int = 512
             accepts = rejects = 0
             hits = []
             walk = sorted((r for r in by_query.get(q, ()) if r.t in centroid), key=lambda r: (-r.shared, r.t_len, r.t))
-            for r in walk[: how.max_accepts + how.max_rejects + 8]:
-                if accepts >= how.max_accepts or rejects >= how.max_rejects:
+            # A limit of 0 is none.
+            for r in walk[: how.max_accepts + how.max_rejects + 8] if how.max_accepts and how.max_rejects else walk:
+                if accepts >= (how.max_accepts or len(walk)) or rejects >= (how.max_rejects or len(walk)):
                     break
                 accepts, rejects = accepts + r.ok, rejects + (not r.ok)
                 if r.ok:

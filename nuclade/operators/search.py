@@ -59,19 +59,21 @@ def candidates(queries: DataFrame, targets: DataFrame, how: Search) -> DataFrame
     """``(q, t, shared, rank)``: the targets to be tried for each query, most shared words first.
 
     A query without words meets every target, shortest first; these few queries
-    are joined with the shortest targets only.
+    are joined with the shortest targets only. Where either limit is 0, which is
+    none, no target is left out.
     """
-    top = how.max_accepts + how.max_rejects + 8
+    top = how.max_accepts + how.max_rejects + 8 if how.max_accepts and how.max_rejects else None
     q_words, t_words = kmers.postings(kmers.masked(queries, how.mask), how.word), kmers.postings(kmers.masked(targets, how.mask), how.word)
     n_words = q_words.groupBy("seqno").agg(F.count(F.lit(1)).alias("words")).withColumnRenamed("seqno", "q")
     counts = q_words.withColumnRenamed("seqno", "q").join(t_words.withColumnRenamed("seqno", "t"), "word").groupBy("q", "t").agg(F.count(F.lit(1)).alias("shared"))
     counts = counts.join(n_words, "q").where(F.col("shared") >= F.least(F.lit(how.least), F.col("words"))).drop("words")
     lens = targets.select(F.col("seqno").alias("t"), F.length("seq").alias("t_len"))
-    shortest = targets.orderBy(F.length("seq"), "seqno").limit(top).select(F.col("seqno").alias("t"))
+    shortest = targets.select(F.col("seqno").alias("t")) if top is None else F.broadcast(targets.orderBy(F.length("seq"), "seqno").limit(top).select(F.col("seqno").alias("t")))
     bare = queries.select(F.col("seqno").alias("q")).join(n_words, "q", "left_anti")
-    none = bare.crossJoin(F.broadcast(shortest)).select("q", "t", F.lit(0).cast("long").alias("shared"))
+    none = bare.crossJoin(shortest).select("q", "t", F.lit(0).cast("long").alias("shared"))
     order = Window.partitionBy("q").orderBy(F.col("shared").desc(), "t_len", "t")
-    return counts.union(none).join(lens, "t").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).drop("t_len")
+    ranked = counts.union(none).join(lens, "t").withColumn("rank", F.row_number().over(order)).drop("t_len")
+    return ranked if top is None else ranked.where(F.col("rank") <= top)
 
 
 def aligned(pairs: DataFrame, how: Search) -> DataFrame:

@@ -77,6 +77,16 @@ def test_clusters_hold_their_threshold(spark):
     assert {r.seq for r in tables.consensus(tables.profile(own)).collect()} == {base, "TTGACCATGGCATCGATCGGATCCTTAGCAATCGGCTAAGCTTAGC"}
 
 
+def test_a_limit_of_zero_is_none(spark):
+    base = "ACGTTGCATGTCAGTACCGATTGCAGGTCTAACGTGATCCATGCGTA"
+    df = reads(spark, [(base, None, 1)] * 50)
+    for accepts, rejects in ((0, 0), (0, 32), (60, 0)):
+        how = search.Search(id=0.9, mask="none", max_accepts=accepts, max_rejects=rejects)
+        assert search.globally(df.where("seqno = 0"), df, how).count() == 50
+        assert cluster.cluster(df.where("seqno < 4"), how, "size").where("is_centroid").count() == 1
+    assert search.globally(df.where("seqno = 0"), df, search.Search(id=0.9, mask="none", max_accepts=2)).count() == 2
+
+
 def test_chimera_of_two_references(spark):
     import random
 
