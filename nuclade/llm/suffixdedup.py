@@ -24,10 +24,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep
+from .common import drop, keep
 from .sais import common_prefixes, suffix_array
 
 #: Bytes of the piece that is a minimizer, and starts that are looked at together.
@@ -122,28 +124,39 @@ def _segments(texts: list[bytes], length: int) -> Iterator[tuple[int, np.ndarray
 
 
 def _segment_rows(docs: DataFrame, length: int) -> DataFrame:
-    """``(mh, sa, doc_id, th, at, span, off)`` of each segment of each text."""
+    """``(mh, sa, id, th, at, span, off)`` of each segment of each text."""
+    names = ["mh", "sa", "id", "th", "at", "span", "off"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
-            ids, ths = batch["doc_id"].tolist(), batch["th"].to_numpy()
-            for k in range(0, len(batch), 400):
-                texts = [b"" if x is None else x.encode("utf-8", "surrogatepass") for x in batch["text"].iloc[k : k + 400]]
-                for number, at, span, off, mh, sa in _segments(texts, length):
-                    yield pd.DataFrame({"mh": mh.view(np.int64), "sa": sa.view(np.int64), "doc_id": pd.array([ids[k + number]], dtype="Int64").repeat(len(at)), "th": ths[k + number], "at": at, "span": span.astype(np.int16), "off": off.astype(np.int16)})
+            ids, ths = (batch.column(c).to_numpy() for c in ("id", "th"))
+            for k in range(0, batch.num_rows, 400):
+                for number, at, span, off, mh, sa in _segments(_texts(batch.column("text").slice(k, 400)), length):
+                    n = len(at)
+                    yield mh.view(np.int64), sa.view(np.int64), np.full(n, ids[k + number]), np.full(n, ths[k + number]), at, span.astype(np.int16), off.astype(np.int16)
 
-    def gathered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = [], 0
         for x in run(batches):
             held.append(x)
-            rows += len(x)
+            rows += len(x[0])
             if rows >= 20_000:
-                yield pd.concat(held)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names)
                 held, rows = [], 0
         if held:
-            yield pd.concat(held)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names)
 
-    return docs.select("doc_id", "th", "text").mapInPandas(gathered, "mh long, sa long, doc_id long, th long, at long, span short, off short")
+    return docs.select("id", "th", "text").mapInArrow(gathered, "mh long, sa long, id long, th long, at long, span short, off short")
+
+
+def _texts(column: pa.Array) -> list[bytes]:
+    return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
+
+
+def _lists(column: pa.Array) -> tuple[list[int], list[np.ndarray]]:
+    """Where each row's structs start, and the fields of all structs; a null list has none."""
+    lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    return np.concatenate([[0], np.cumsum(lengths)]).tolist(), [x.to_numpy(zero_copy_only=False) for x in column.flatten().flatten()]
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -156,14 +169,14 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _cut(data: bytes, spans: list[tuple[int, int]]) -> dict:
-    """What is left of ``data`` without merged spans."""
+def _cut(data: bytes, spans: list[tuple[int, int]]) -> tuple:
+    """What is left of ``data`` without merged spans, as the columns of ``RESULT``."""
     kept, at = [], 0
     for a, b in spans:
         kept.append(data[at:a])
         at = b
     kept = b"".join([*kept, data[at:]])
-    return {"n_bytes": len(data), "n_removed": len(data) - len(kept), "n_spans": len(spans), "kept_sha256": hashlib.sha256(kept).hexdigest(), "kept": kept.decode("utf-8", "ignore")}
+    return len(data), len(data) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore")
 
 
 def _shard(texts: list[bytes], length: int) -> list[list[tuple[int, int]]]:
@@ -205,52 +218,64 @@ def remove_repeats(docs: DataFrame, how: Repeats | None = None, carry: list[str]
     length = how.length
     carry = carry or []
     with_ = [f"with_{c}" for c in carry]
-    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("th"), *(F.col(c).alias(w) for c, w in zip(carry, with_, strict=True)))
+    # A row is known by its id and a hash of its text, which also says whether the id is null.
+    docs = docs.select(F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("no_id"), "text", F.xxhash64("text", F.col("doc_id").isNull()).alias("th"), *(F.col(c).alias(w) for c, w in zip(carry, with_, strict=True)))
+    kept_cols = ["no_id", *with_]
     kinds_of = {f.name: f.dataType.simpleString() for f in docs.schema}
-    rows = keep(_segment_rows(docs, length))
-    shared = rows.groupBy("mh").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("mh")
-    rows = keep(rows.join(shared, "mh"))
-    one = F.min(F.struct("doc_id", "th", "at", "span", "off"))
+    every = keep(_segment_rows(docs, length))
+    # Tables of their own, so that both sides of a join are dealt by its key and a hot key's rows can be split.
+    shared = keep(every.groupBy("mh").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("mh"))
+    rows = keep(every.join(shared, "mh"))
+    drop(every)
+    drop(shared)
+    one = F.min(F.struct("id", "th", "at", "span", "off"))
     kinds = keep(rows.groupBy("mh", "sa").agg(F.count(F.lit(1)).alias("n"), one.alias("one")))
-    different = kinds.groupBy("mh").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    covered = rows.join(kinds.where("n > 1").select("mh", "sa"), ["mh", "sa"]).select("doc_id", "th", "at", "span", F.lit(0).cast("short").alias("off"), F.lit(0).cast("long").alias("mh"), F.lit(0).alias("way"))
-    compared = kinds.join(different, "mh").select("one.doc_id", "one.th", "one.at", "one.span", "one.off", "mh", F.when(F.col("n") > 1, 2).otherwise(1).alias("way"), (F.col("kinds") > how.many).alias("hot"))
-    compared = compared.select("doc_id", "th", "at", "span", "off", "mh", (F.col("way") + F.when(F.col("hot"), 2).otherwise(0)).alias("way"))
+    different = keep(kinds.groupBy("mh").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"))
+    covered = rows.join(kinds.where("n > 1").select("mh", "sa"), ["mh", "sa"]).select("id", "th", "at", "span", F.lit(0).cast("short").alias("off"), F.lit(0).cast("long").alias("mh"), F.lit(0).alias("way"))
+    compared = kinds.join(different, "mh").select("one.*", "mh", F.when(F.col("n") > 1, 2).otherwise(1).alias("way"), (F.col("kinds") > how.many).alias("hot"))
+    compared = compared.select("id", "th", "at", "span", "off", "mh", (F.col("way") + F.when(F.col("hot"), 2).otherwise(0)).alias("way"))
     # way: 0 a repeat; 1 to be compared; 2 compared, and a repeat; 3 and 4 the same of a hot minimizer.
-    own = covered.union(compared).groupBy("doc_id", "th").agg(F.collect_list(F.struct("at", "span", "off", "mh", "way")).alias("parts"))
-    left = docs.alias("d").join(own.alias("o"), (F.col("d.th") == F.col("o.th")) & F.col("d.doc_id").eqNullSafe(F.col("o.doc_id")), "left").select("d.doc_id", "d.th", "d.text", "o.parts", *with_)
-
-    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for k in range(0, len(batch), 500):
-                out = []
-                part = batch.iloc[k : k + 500]
-                for doc_id, th, text, parts in part[["doc_id", "th", "text", "parts"]].itertuples(index=False):
-                    parts = [] if parts is None else [tuple(x.values()) if isinstance(x, dict) else tuple(x) for x in parts]
-                    spans = _merged([(x[0], x[0] + x[1]) for x in parts if x[4] in (0,)])
-                    data = b"" if text is None else text.encode("utf-8", "surrogatepass")
-                    more = [x for x in parts if x[4]]
-                    done = {} if more else _cut(data, spans)
-                    out.append({"doc_id": doc_id, "th": th, "text": text if more else None, "spans": [{"a": a, "b": b} for a, b in spans], "more": [dict(zip(("at", "span", "off", "mh", "way"), x, strict=True)) for x in more], "done": not more, **done})
-                made = pd.DataFrame(out, columns=["doc_id", "th", "text", "spans", "more", "done", *RESULT])
-                yield made.assign(**{w: part[w].to_numpy() for w in with_})
+    # A set, as rows that repeat an id and a text have the same parts: a list is never longer than its text.
+    own = covered.union(compared).groupBy("id", "th").agg(F.collect_set(F.struct("at", "span", "off", "mh", "way")).alias("parts"))
+    left = docs.join(own, ["id", "th"], "left").select("id", "th", "text", "parts", *kept_cols)
 
     part = "array<struct<at:long,span:int,off:int,mh:long,way:int>>"
-    schema = f"doc_id long, th long, text string, spans array<struct<a:long,b:long>>, more {part}, done boolean, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string" + "".join(f", {w} {kinds_of[w]}" for w in with_)
-    met = keep(left.mapInPandas(first, schema))
-    open_ = met.where("not done").select("doc_id", "th", "text", "spans", "more", *with_)
+    result = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"
+    carried = "".join(f", {w} {kinds_of[w]}" for w in kept_cols)
 
-    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 500):
+                now = batch.slice(k, 500)
+                bounds, (at, span, off, mh, way) = _lists(now.column("parts"))
+                spans, more, done, cut = [], [], [], []
+                for data, a, b in zip(_texts(now.column("text")), bounds[:-1], bounds[1:], strict=True):
+                    sure = np.flatnonzero(way[a:b] == 0) + a
+                    spans.append(_merged(list(zip(at[sure].tolist(), (at[sure] + span[sure]).tolist(), strict=True))))
+                    open_ = np.flatnonzero(way[a:b]) + a
+                    more.append(list(zip(*(x[open_].tolist() for x in (at, span, off, mh, way)), strict=True)))
+                    done.append(not len(open_))
+                    cut.append((None,) * len(RESULT) if len(open_) else _cut(data, spans[-1]))
+                text = now.column("text").take(pa.array([None if x else i for i, x in enumerate(done)], pa.int64()))
+                yield _batch({"id": now.column("id"), "th": now.column("th"), "text": text, "spans": _structs(spans, ("a", "b")), "more": _structs(more, ("at", "span", "off", "mh", "way"), {"span": pa.int32(), "off": pa.int32(), "way": pa.int32()}), "done": pa.array(done), **_results(cut), **{w: now.column(w) for w in kept_cols}})
+
+    met = keep(left.mapInArrow(first, f"id long, th long, text string, spans array<struct<a:long,b:long>>, more {part}, done boolean, {result}{carried}"))
+    for x in (rows, kinds, different):
+        drop(x)
+    open_ = met.where("not done").select("id", "th", "text", "spans", "more", *kept_cols)
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Segments with their bytes; those of hot minimizers cut to stretches of 32 starts, keyed by what these share."""
         for batch in batches:
-            for k in range(0, len(batch), 200):
+            for k in range(0, batch.num_rows, 200):
+                now = batch.slice(k, 200)
+                bounds, fields = _lists(now.column("more"))
+                every = list(zip(*(x.tolist() for x in fields), strict=True))
                 out = []
-                for doc_id, th, text, more in batch.iloc[k : k + 200][["doc_id", "th", "text", "more"]].itertuples(index=False):
-                    data = text.encode("utf-8", "surrogatepass")
-                    for x in more:
-                        at, span, off, mh, way = x["at"], x["span"], x["off"], x["mh"], x["way"]
+                for id_, th, data, a, b in zip(now.column("id").to_pylist(), now.column("th").to_pylist(), _texts(now.column("text")), bounds[:-1], bounds[1:], strict=True):
+                    for at, span, off, mh, way in every[a:b]:
                         if way < 3:
-                            out.append((mh, doc_id, th, at, data[at : at + span], way == 2))
+                            out.append((mh, id_, th, at, data[at : at + span], way == 2))
                             continue
                         # The start's distance before the minimizer, in stretches.
                         for band in range(-(-length // PIECE)):
@@ -258,52 +283,77 @@ def remove_repeats(docs: DataFrame, how: Repeats | None = None, carry: list[str]
                             if lo <= hi:
                                 core = data[at + off - PIECE * band : at + off - PIECE * (band + 1) + 1 + length]
                                 key = hashlib.blake2b(core + bytes([band]), digest_size=8).digest()
-                                out.append((int.from_bytes(key, "little", signed=True), doc_id, th, lo, data[lo : hi + length], way == 4))
-                yield pd.DataFrame(out, columns=["key", "doc_id", "th", "at", "piece", "known"])
+                                out.append((int.from_bytes(key, "little", signed=True), id_, th, lo, data[lo : hi + length], way == 4))
+                yield _rows(out, ("key", "id", "th", "at", "piece", "known"), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_()))
 
-    cut = keep(open_.mapInPandas(pieces, "key long, doc_id long, th long, at long, piece binary, known boolean"))
+    cut = keep(open_.mapInArrow(pieces, "key long, id long, th long, at long, piece binary, known boolean"))
     sizes = cut.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     total = cut.agg(F.sum(F.length("piece"))).first()[0] or 0
     shards = max(1, -(-total // how.shard))
     keyed = cut.join(sizes, "key")
-    small = keyed.where(F.col("n") <= how.many).where("n > 1").select(F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard"), "doc_id", "th", "at", "piece", "known")
+    small = keyed.where(F.col("n") <= how.many).where("n > 1").select(F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard"), "id", "th", "at", "piece", "known")
 
     def sort(batch: pd.DataFrame) -> pd.DataFrame:
         out = []
         found = _shard(batch["piece"].tolist(), length)
-        for doc_id, th, at, known, spans in zip(batch["doc_id"], batch["th"], batch["at"], batch["known"], found, strict=True):
+        for id_, th, at, known, spans in zip(batch["id"], batch["th"], batch["at"], batch["known"], found, strict=True):
             if not known:
-                out += [(doc_id, th, at + a, at + b) for a, b in spans]
-        return pd.DataFrame({"doc_id": pd.array([x[0] for x in out], dtype="Int64"), **{c: [x[i] for x in out] for i, c in ((1, "th"), (2, "a"), (3, "b"))}})
+                out += [(id_, th, at + a, at + b) for a, b in spans]
+        return pd.DataFrame(out, columns=["id", "th", "a", "b"], dtype="int64")
 
-    def strings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, len(batch), 500):
-                out = []
-                for doc_id, th, at, piece in batch.iloc[k : k + 500][["doc_id", "th", "at", "piece"]].itertuples(index=False):
+            for k in range(0, batch.num_rows, 500):
+                now, out = batch.slice(k, 500), []
+                for id_, th, at, piece in zip(*(now.column(c).to_pylist() for c in ("id", "th", "at", "piece")), strict=True):
                     for i in range(len(piece) - length + 1):
-                        out.append((hashlib.blake2b(piece[i : i + length], digest_size=16).digest(), doc_id, th, at + i))
-                yield pd.DataFrame(out, columns=["digest", "doc_id", "th", "a"])
+                        out.append((hashlib.blake2b(piece[i : i + length], digest_size=16).digest(), id_, th, at + i))
+                yield _rows(out, ("digest", "id", "th", "a"), (pa.binary(), pa.int64(), pa.int64(), pa.int64()))
 
     # Minimizers whose text around them is the same still more often: string by string.
-    single = keyed.where(F.col("n") > how.many).mapInPandas(strings, "digest binary, doc_id long, th long, a long")
+    single = keyed.where(F.col("n") > how.many).select("id", "th", "at", "piece").mapInArrow(strings, "digest binary, id long, th long, a long")
     twice = single.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest")
-    single = single.join(twice, "digest").select("doc_id", "th", "a", (F.col("a") + length).alias("b"))
-    found = small.groupBy("shard").applyInPandas(sort, "doc_id long, th long, a long, b long").union(single)
-    found = found.groupBy("doc_id", "th").agg(F.collect_list(F.struct("a", "b")).alias("found"))
-    rest = open_.alias("d").join(found.alias("o"), (F.col("d.th") == F.col("o.th")) & F.col("d.doc_id").eqNullSafe(F.col("o.doc_id")), "left").select("d.doc_id", "d.text", "d.spans", "o.found", *with_)
+    single = single.join(twice, "digest").select("id", "th", "a", (F.col("a") + length).alias("b"))
+    found = small.groupBy("shard").applyInPandas(sort, "id long, th long, a long, b long").union(single)
+    found = found.groupBy("id", "th").agg(F.collect_set(F.struct("a", "b")).alias("found"))
+    rest = open_.join(found, ["id", "th"], "left").select("id", "text", "spans", "found", *kept_cols)
 
-    def last(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for doc_id, text, spans, more in batch[["doc_id", "text", "spans", "found"]].itertuples(index=False):
-                both = [*spans, *([] if more is None else more)]
-                out.append({"doc_id": doc_id, **_cut(text.encode("utf-8", "surrogatepass"), _merged([(x["a"], x["b"]) for x in both]))})
-            yield pd.DataFrame(out, columns=["doc_id", *RESULT]).assign(**{w: batch[w].to_numpy() for w in with_})
+            for k in range(0, batch.num_rows, 500):
+                now = batch.slice(k, 500)
+                one, two = (_lists(now.column(c)) for c in ("spans", "found"))
+                cut = []
+                for i, data in enumerate(_texts(now.column("text"))):
+                    spans = [x for bounds, (a, b) in (one, two) for x in zip(a[bounds[i] : bounds[i + 1]].tolist(), b[bounds[i] : bounds[i + 1]].tolist(), strict=True)]
+                    cut.append(_cut(data, _merged(spans)))
+                yield _batch({"id": now.column("id"), **_results(cut), **{w: now.column(w) for w in kept_cols}})
 
-    closed = met.where("done").select("doc_id", *RESULT, *with_)
-    both = closed.union(rest.mapInPandas(last, closed.schema))
-    return both.select("doc_id", *RESULT, *(F.col(w).alias(c) for c, w in zip(carry, with_, strict=True)))
+    closed = met.where("done").select("id", *RESULT, *kept_cols)
+    both = closed.union(rest.mapInArrow(last, f"id long, {result}{carried}"))
+    return both.select(F.when(~F.col("no_id"), F.col("id")).alias("doc_id"), *RESULT, *(F.col(w).alias(c) for c, w in zip(carry, with_, strict=True)))
 
 
 RESULT = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
+
+
+def _batch(columns: dict) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+
+def _rows(rows: list[tuple], names: tuple, kinds: tuple) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], list(names))
+
+
+def _results(cut: list[tuple]) -> dict:
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
+    return {c: pa.array([x[i] for x in cut], k) for i, (c, k) in enumerate(zip(RESULT, kinds, strict=True))}
+
+
+def _structs(lists: list[list[tuple]], names: tuple, kinds: dict | None = None) -> pa.Array:
+    """A list of structs for each row."""
+    flat = [x for own in lists for x in own]
+    fields = [pa.array([x[i] for x in flat], (kinds or {}).get(c, pa.int64())) for i, c in enumerate(names)]
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(fields, list(names)))
