@@ -1,17 +1,18 @@
 """Suffix arrays by induced sorting, and permuted common prefixes, in NumPy.
 
-Induction runs a bucket at a time: what a bucket's entries induce is one array
-operation, and so is each round of a run of equal symbols, so the work is linear
-and the number of array operations depends on the alphabet. Names of the reduced
-string are sorted by the same procedure while they are few, and by doubling of
-ranks once buckets would be nearly empty.
+Leftmost-smaller substrings are sorted and named, and the string of names is
+sorted by the same procedure until all names differ; then suffixes are induced.
+Induction runs a bucket at a time while buckets are full: what a bucket's
+entries induce is one array operation, and so is each round of a run of equal
+symbols. Strings of names have so many symbols that their buckets are nearly
+empty; they are induced entry by entry, which is the same order. Both are linear.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Entries that a bucket must have on average for induction to pay.
+#: Entries that a bucket must have on average for induction by buckets to pay.
 FULL = 64
 
 
@@ -86,42 +87,71 @@ def _induce(s: np.ndarray, small: np.ndarray, lms: np.ndarray, size: int) -> np.
     return out
 
 
-def _names(s: np.ndarray, lms: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, int]:
-    """Ranks of the leftmost-smaller substrings, in text order, where equal ones share a rank."""
-    end = np.empty(len(s), dtype=np.int64)
-    end[lms] = np.append(lms[1:], lms[-1])
-    a, b = order[:-1], order[1:]
-    length = end[a] - a
-    differ = length != end[b] - b
-    live = np.flatnonzero(~differ)
-    k = 0
+def _names(s: np.ndarray, small: np.ndarray, lms: np.ndarray) -> tuple[np.ndarray, int]:
+    """Ranks of the leftmost-smaller substrings, in text order, where equal ones share a rank, and how many there are.
+
+    A symbol and its type together are one code; with these no substring starts
+    another. Codes are compared some at a time, each time only of substrings
+    that are still equal to others and not at their end.
+    """
+    code = s.astype(np.int64) * 2 + small + 1
+    bits = int(code.max()).bit_length()
+    step = max(1, 62 // bits)
+    length = np.append(np.diff(lms) + 1, 1)
+    rank = np.zeros(len(lms), dtype=np.int64)
+    live, done = np.arange(len(lms)), 0
     while len(live):
-        unequal = s[a[live] + k] != s[b[live] + k]
-        differ[live[unequal]] = True
-        live = live[~unequal]
-        live = live[length[live] > k]
-        k += 1
-    # The sentinel's substring is only itself.
-    rank = np.empty(len(s), dtype=np.int64)
-    rank[order] = np.concatenate([[0], np.cumsum(differ)])
-    return rank[lms], int(rank[order[-1]]) + 1
-
-
-def _double(s: np.ndarray) -> np.ndarray:
-    """The suffix array by doubling of ranks."""
-    n = len(s)
-    rank, k = s.astype(np.int64), 1
-    while True:
-        key = rank * (n + 1)
-        key[:-k] += rank[k:] + 1
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        new = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])])
-        rank = np.empty(n, dtype=np.int64)
-        rank[order] = new
-        if new[-1] == n - 1 or k >= n:
-            return order
-        k *= 2
+        key = np.zeros(len(live), dtype=np.int64)
+        for k in range(done, done + step):
+            at = np.minimum(lms[live] + k, len(s) - 1)
+            key = key << bits | np.where(k < length[live], code[at], 0)
+        # Ranks leave room for those of equal ones: a rank is the number of smaller substrings.
+        order = np.lexsort((key, rank[live])) if done else np.argsort(key, kind="stable")
+        own, key = rank[live][order], key[order]
+        fresh = np.append(True, (own[1:] != own[:-1]) | (key[1:] != key[:-1]))
+        first = np.flatnonzero(fresh)
+        group = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+        within = np.repeat(first, np.diff(first, append=len(own))) - np.repeat(group, np.diff(group, append=len(own)))
+        rank[live[order]] = own + within
+        size = np.repeat(np.diff(first, append=len(own)), np.diff(first, append=len(own)))
+        done += step
+        live = live[order][size > 1]
+        live = live[length[live] > done]
+    used = np.zeros(len(lms), dtype=np.int64)
+    used[rank] = 1
+    names = np.cumsum(used) - 1
+    return names[rank], int(names[-1]) + 1
+
+
+def _induce_each(s: np.ndarray, small: np.ndarray, lms: np.ndarray, size: int) -> np.ndarray:
+    """What :func:`_induce` gives, an entry at a time."""
+    counts = np.bincount(s, minlength=size)
+    ends = np.cumsum(counts)
+    heads, tails = (ends - counts).tolist(), ends.tolist()
+    # By suffix, the symbol before it if that starts a larger (smaller) suffix; -1 also for no suffix, the last place.
+    before = np.append(-1, s[:-1].astype(np.int64))
+    is_small = np.append(False, small[:-1])
+    large_before, small_before = (np.append(np.where(x, before, -1), -1).tolist() for x in (~is_small, is_small))
+    seeds = lms[np.argsort(s[lms], kind="stable")]
+    out = np.full(len(s), -1, dtype=np.int64)
+    # The leftmost-smaller suffixes, in order, at the ends of their buckets.
+    own, first = np.unique(s[seeds], return_index=True)
+    many = np.diff(first, append=len(seeds))
+    out[np.repeat(ends[own] - many - first, many) + np.arange(len(seeds))] = seeds
+    order = out.tolist()
+    for i in order:
+        c = large_before[i]
+        if c >= 0:
+            at = heads[c]
+            order[at], heads[c] = i - 1, at + 1
+    for i in reversed(order):
+        c = small_before[i]
+        if c >= 0:
+            tails[c] = at = tails[c] - 1
+            order[at] = i - 1
+    # The last suffix, the sentinel's, is induced by none.
+    order[0] = len(s) - 1
+    return np.array(order, dtype=np.int64)
 
 
 def suffix_array(s: np.ndarray, size: int) -> np.ndarray:
@@ -130,15 +160,13 @@ def suffix_array(s: np.ndarray, size: int) -> np.ndarray:
         return np.arange(len(s))[::-1].copy()
     small = _types(s)
     lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
-    order = _induce(s, small, lms, size)
-    mark = np.zeros(len(s), dtype=bool)
-    mark[lms] = True
-    order = order[mark[order]]
-    names, many = _names(s, lms, order)
+    names, many = _names(s, small, lms)
     if many < len(lms):
-        below = suffix_array(names, many) if many * FULL <= len(names) else _double(names)
-        order = lms[below]
-    return _induce(s, small, order, size)
+        order = lms[suffix_array(names, many)]
+    else:
+        order = np.empty(len(lms), dtype=np.int64)
+        order[names] = lms
+    return (_induce if size * FULL <= len(s) else _induce_each)(s, small, order, size)
 
 
 def common_prefixes(s: np.ndarray, order: np.ndarray, starts: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

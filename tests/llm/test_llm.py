@@ -444,6 +444,19 @@ def test_repeats_go_everywhere(spark, docs, plain, many):
     assert remove_repeats(empty(spark)).count() == 0
 
 
+def test_repeats_where_every_row_is_compared(spark):
+    from nuclade.llm.suffixdedup import remove_repeats
+
+    rng = random.Random(21)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(300))
+    own = [(i, "".join(rng.choice("stuvwxyz") for _ in range(100)) + passage + "".join(rng.choice("0123456789") for _ in range(100)), "en", "s", 0, 1, "x", 1) for i in (2**60 + 1, None)]
+    own += [(None, own[0][1], *own[0][2:]), (7, None, *own[0][2:])]
+    out = remove_repeats(spark.createDataFrame(own[:2], DOCS)).collect()
+    assert {(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept) for r in out} == {(i, 500, 300, 1, t.replace(passage, "")) for i, t, *_ in own[:2]}
+    out = remove_repeats(spark.createDataFrame(own, DOCS).repartition(1)).collect()
+    assert Counter((r.doc_id, r.n_removed) for r in out) == Counter({(2**60 + 1, 500): 1, (None, 300): 1, (None, 500): 1, (7, 0): 1})
+
+
 # ------------------------------------------------------------------- 8, minhash
 
 
@@ -482,6 +495,37 @@ def test_near_duplicates_of_nothing_and_across_tiles(spark):
     assert {r.doc_id: r.component_id for r in out} == comp
 
 
+@pytest.mark.parametrize("tile", [600, 1_200_000])
+def test_near_duplicates_in_many_tiles(spark, monkeypatch, tile):
+    from nuclade.llm import minhash
+
+    monkeypatch.setattr(minhash, "TILE", tile)
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(120)]
+    loose = []
+    for i in range(90):
+        w = base[:]
+        for _ in range(rng.randint(0, 3)):
+            w[rng.randrange(120)] = f"e{i}x{rng.random()}"
+        loose.append(" ".join(w))
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(116)} for t in loose]
+    links = [(a, b) for a, b in itertools.combinations(range(90), 2) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    comp = components(range(90), links)
+    assert 5 < len(set(comp.values())) < 80
+    out = minhash.near_duplicates(spark.createDataFrame(rows(loose), DOCS)).collect()
+    assert {r.doc_id: r.component_id for r in out} == comp
+
+
+def test_near_duplicates_of_an_id_with_two_texts(spark):
+    from nuclade.llm.minhash import near_duplicates
+
+    rng = random.Random(9)
+    a, b, c = (sentence(rng, 60) for _ in range(3))
+    own = [(5, a), (5, b), (5, b), (7, f"{a} more"), (8, f"{b} more"), (2**60 + 1, c), (None, c), (3, f"{c} more"), (5, None), (9, None)]
+    out = near_duplicates(spark.createDataFrame([(i, t, *rows([t])[0][2:]) for i, t in own], DOCS).repartition(2)).collect()
+    assert Counter((r.doc_id, r.component_id, r.kept) for r in out) == Counter([(5, 5, True)] * 4 + [(7, 5, False), (8, 5, False), (2**60 + 1, 3, False), (3, 3, True), (None, None, True), (9, 9, True)])
+
+
 # ------------------------------------------------------------------ 9, sharding
 
 
