@@ -76,6 +76,7 @@ RULES = [
 
 GPL = "you can redistribute it and or modify it under the terms of the gnu general public license"
 LGPL = "you can redistribute it and or modify it under the terms of the gnu lesser general public license"
+AGPL = "you can redistribute it and or modify it under the terms of the gnu affero general public license"
 FSF = "as published by the free software foundation"
 LATER = "or at your option any later version"
 #: Other forms of sentences, normalised, and the sentences they stand for; ``|`` is a sentence end within.
@@ -86,6 +87,22 @@ FORMS = {
     f"{GPL} version 2 {FSF}": ["gplTerms", "gplVersion2"],
     f"{GPL} version 3 {FSF}": ["gplTerms", "gplVersion3"],
     f"{LGPL} {FSF}": ["lgplTerms"],
+    f"{AGPL} {FSF}": ["agplTerms"],
+    f"{AGPL} version 3 {FSF}": ["agplTerms", "gplVersion3"],
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": ["iscGrant"],
+    "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": ["iscGrant"],
+    "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness": ["iscAsIs"],
+    "this program and the accompanying materials are made available under the terms of the eclipse public license 2.0 which is available at": ["eplTerms2"],
+    "this program and the accompanying materials are made available under the terms of the eclipse public license v2.0": ["eplTerms2"],
+    "this program and the accompanying materials are made available under the terms of the eclipse public license 2.0": ["eplTerms2"],
+    "this program and the accompanying materials are made available under the terms of the eclipse public license v1.0 which accompanies this distribution and is available at": ["eplTerms1"],
+    "this program and the accompanying materials are made available under the terms of the eclipse public license v1.0": ["eplTerms1"],
+    "this software is provided as is without any express or implied warranty": ["zlibAsIs"],
+    "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions": ["zlibGrant"],
+    "this is free and unencumbered software released into the public domain": ["unlicense"],
+    "distributed under the boost software license version 1.0": ["boost"],
+    "boost software license version 1.0 august 17th 2003": ["boost"],
+    "the person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law including all related and neighboring rights to the extent allowed by law": ["cc0"],
     "version 2.1 of the license": ["lgplVersion21"],
     "this source code form is subject to the terms of the mozilla public license v|2.0": ["mplTerms"],
     "this work is licensed under cc by nc 4.0": ["ccByNc4"],
@@ -96,7 +113,7 @@ FORMS = {
     "this work is licensed under a creative commons attribution 4.0 international license": ["ccBy4"],
     f"this work is licensed under the gnu general public license version 3 {LATER}": ["gplWork3", "orLater"],
 }
-for _start, _terms in (("", []), (f"{GPL} {FSF} ", ["gplTerms"]), (f"{LGPL} {FSF} ", ["lgplTerms"])):
+for _start, _terms in (("", []), (f"{GPL} {FSF} ", ["gplTerms"]), (f"{LGPL} {FSF} ", ["lgplTerms"]), (f"{AGPL} {FSF} ", ["agplTerms"])):
     for _number, _version in (("2", "gplVersion2"), ("2.1", "lgplVersion21"), ("3", "gplVersion3")):
         FORMS[f"{_start}either version {_number} of the license {LATER}"] = [*_terms, _version, "orLater"]
         if _terms:
@@ -107,6 +124,17 @@ MORE_RULES = [
     ("LGPL-3.0-or-later", ["lgplTerms", "gplVersion3", "orLater"]),
     ("LGPL-2.1-only", ["lgplTerms", "lgplVersion21"]),
     ("LGPL-3.0-only", ["lgplTerms", "gplVersion3"]),
+    ("AGPL-3.0-or-later", ["agplTerms", "gplVersion3", "orLater"]),
+    ("AGPL-3.0-only", ["agplTerms", "gplVersion3"]),
+    ("ISC", ["iscGrant", "iscAsIs"]),
+    ("ISC", ["iscGrant"]),
+    ("EPL-2.0", ["eplTerms2"]),
+    ("EPL-1.0", ["eplTerms1"]),
+    ("Zlib", ["zlibAsIs", "zlibGrant"]),
+    ("Zlib", ["zlibGrant"]),
+    ("Unlicense", ["unlicense"]),
+    ("BSL-1.0", ["boost"]),
+    ("CC0-1.0", ["cc0"]),
 ]
 
 ENDS = r"([.!?;:])[ \t\r\n\f]+"
