@@ -38,8 +38,8 @@ class Graph:
     trees: int = 8
     leaf: int = 400
     #: Length of a query's list, of which so many are expanded in a step; a search ends when all were.
-    beam: int = 80
-    expand: int = 32
+    beam: int = 240
+    expand: int = 80
     seed: int = 13
 
 
@@ -56,9 +56,9 @@ def _matrix(rows, width: int, kind=np.float32) -> np.ndarray:
     return out
 
 
-def _packed(rows: list, width: int) -> list[bytes]:
-    """Each vector's float32 components, padded; rounding them further would make the members of a tight group equal."""
-    return [x.tobytes() for x in _matrix(rows, width)]
+def _packed(rows: list, width: int, centre: np.ndarray) -> list[bytes]:
+    """Each vector's float32 components about the centre, padded; rounding them further would make the members of a tight group equal."""
+    return [x.tobytes() for x in (_matrix(rows, width, np.float64) - centre).astype(np.float32)]
 
 
 def _unpacked(packed: list[bytes]) -> np.ndarray:
@@ -89,7 +89,7 @@ class Index:
 
     def __init__(self, vectors: DataFrame, how: Graph | None = None, vector: str = "embedding") -> None:
         self.how = how or Graph()
-        raw = vectors.select(F.col("vec_id"), F.col(vector).cast("array<float>").alias("vector")).where(usable(F.col("vector")) & F.col("vec_id").isNotNull())
+        raw = vectors.select(F.col("vec_id"), F.col(vector).cast("array<double>").alias("vector")).where(usable(F.col("vector")) & F.col("vec_id").isNotNull())
         same = F.md5(F.array_join(F.transform("vector", lambda x: x.cast("string")), ",").cast("binary"))
         self.rows = keep(raw.withColumn("same", same))
         self.nodes = keep(self.rows.groupBy("same").agg(F.min("vec_id").alias("id"), F.min("vector").alias("vector")))
@@ -97,13 +97,19 @@ class Index:
         self.n, self.width = n, width or 0
         #: A vec_id with several vectors would be several nodes of one name: nodes are named by their content.
         width = self.width
+        # Distances don't depend on the origin, but what float32 keeps of them does.
+        some = self.nodes.select("vector").orderBy(F.xxhash64("same")).limit(2000).collect()
+        centre = _matrix([r.vector for r in some], width, np.float64).mean(axis=0) if some else np.zeros(width)
 
         @F.pandas_udf("binary")
         def packed(vectors: pd.Series) -> pd.Series:
-            return pd.Series(_packed(vectors.tolist(), width), dtype=object)
+            return pd.Series(_packed(vectors.tolist(), width, centre), dtype=object)
 
+        self.packed = packed
         self.nodes = keep(self.nodes.select("same", "id", "vector", F.xxhash64("same", "id").alias("node"), packed("vector").alias("packed")))
         self.graph = self._build() if n > 1 else None
+        if self.graph is not None:
+            self.links = keep(self.graph.groupBy(F.col("u").alias("node")).agg(F.collect_list("v").alias("links")))
 
     def _blocks(self, rows_each: int) -> int:
         return max(1, -(-self.n // rows_each))
@@ -117,21 +123,20 @@ class Index:
     def _leaves(self) -> DataFrame:
         """A row of each node for each tree: ``(leaf, node, vector)``, leaf a hash of the cuts' sides.
 
-        Cuts go through the mean of a bounded sample, so leaves are of like size;
-        one that is still too large is split by hash, in each tree otherwise.
+        Cuts go through the centre, so leaves are of like size; one that is still too large is split by hash, in each tree otherwise.
         """
-        planes, width = self.planes(), self.width
-        some = self.nodes.select("vector").orderBy("node").limit(2000).collect()
-        centre = _matrix([r.vector for r in some], width).mean(axis=0)
+        planes = self.planes()
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                x = _matrix(batch["vector"].tolist(), width) - centre
+                if batch.empty:
+                    continue
+                x = _unpacked(batch["packed"].tolist())
                 for t, cuts in enumerate(planes):
                     sides = (x @ cuts.T > 0) @ (1 << np.arange(len(cuts), dtype=np.int64)) if len(cuts) else np.zeros(len(x), dtype=np.int64)
                     yield pd.DataFrame({"leaf": sides * len(planes) + t, "node": batch["node"].to_numpy()})
 
-        leaves = self.nodes.select("node", "vector").mapInPandas(run, "leaf long, node long")
+        leaves = self.nodes.select("node", "packed").mapInPandas(run, "leaf long, node long")
         sizes = leaves.groupBy("leaf").agg(F.count(F.lit(1)).alias("size"))
         parts = F.ceil(F.col("size") / (4 * self.how.leaf))
         leaves = leaves.join(sizes, "leaf").select("node", F.xxhash64("leaf", F.pmod(F.xxhash64("leaf", "node"), parts)).alias("leaf"))
@@ -205,29 +210,42 @@ class Index:
         aren't usable get no rows; repeated ones are answered once.
         """
         how = self.how
-        queries = keep(queries.select("query_id", F.col("vector").cast("array<float>").alias("q")).where(usable(F.col("q")) & F.col("query_id").isNotNull()).dropDuplicates(["query_id"]))
+        queries = keep(queries.select("query_id", F.col("vector").cast("array<double>").alias("q")).where(usable(F.col("q")) & F.col("query_id").isNotNull()).dropDuplicates(["query_id"]))
         nodes = self.nodes.select("node", "vector", "id", "same")
-        far = F.sqrt(F.aggregate(F.zip_with("q", "vector", lambda a, b: F.pow(F.coalesce(a, F.lit(0.0)).cast("double") - F.coalesce(b, F.lit(0.0)).cast("double"), 2)), F.lit(0.0), lambda a, b: a + b))
-        best = Window.partitionBy("query_id").orderBy("d", "node")
+        exact = F.sqrt(F.aggregate(F.zip_with("q", "vector", lambda a, b: F.pow(F.coalesce(a, F.lit(0.0)) - F.coalesce(b, F.lit(0.0)), 2)), F.lit(0.0), lambda a, b: a + b))
+
+        @F.pandas_udf("double")
+        def far(a: pd.Series, b: pd.Series) -> pd.Series:
+            if not len(a):
+                return pd.Series([], dtype=float)
+            return pd.Series(np.sqrt(((_unpacked(a.tolist()).astype(np.float64) - _unpacked(b.tolist())) ** 2).sum(axis=1)))
+
         # Entry points: the node of an equal vector, and nodes spread over the graph by hash.
-        if self.n <= 2 * how.beam:
-            start = queries.select("query_id", F.explode(F.array(*[F.lit(r.node) for r in self.nodes.select("node").collect()] or [F.lit(None).cast("long")])).alias("node")).where("node is not null")
-        else:
-            same = F.md5(F.array_join(F.transform("q", lambda x: x.cast("string")), ",").cast("binary"))
-            own = queries.select("query_id", same.alias("same")).join(nodes.select("same", "node"), "same").select("query_id", "node")
-            spread = [r.node for r in self.nodes.select("node").orderBy("node").limit(how.beam // 2).collect()]
-            start = own.union(queries.select("query_id", F.explode(F.array(*map(F.lit, spread))).alias("node"))).distinct()
-        beam = keep(start.join(queries, "query_id").join(nodes.select("node", "vector"), "node").select("query_id", "node", far.alias("d"), F.lit(False).alias("seen")))
-        while self.graph is not None and self.n > 2 * how.beam and not beam.where("not seen").isEmpty():
-            turn = Window.partitionBy("query_id").orderBy("seen", "d", "node")
-            beam_ = beam.withColumn("turn", F.row_number().over(turn)).withColumn("now", ~F.col("seen") & (F.col("turn") <= how.expand))
-            links = beam_.where("now").join(self.graph.select(F.col("u").alias("node"), "v"), "node").select("query_id", F.col("v").alias("node")).distinct()
-            links = links.join(beam.select("query_id", "node"), ["query_id", "node"], "left_anti")
-            found = links.join(queries, "query_id").join(nodes.select("node", "vector"), "node").select("query_id", "node", far.alias("d"), F.lit(False).alias("seen"))
-            after = beam_.select("query_id", "node", "d", (F.col("seen") | F.col("now")).alias("seen")).union(found)
-            after = keep(after.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= how.beam).drop("nth"))
-            drop(beam)
-            beam = after
+        same = F.md5(F.array_join(F.transform("q", lambda x: x.cast("string")), ",").cast("binary"))
+        own = queries.select("query_id", same.alias("same")).join(nodes.select("same", "node"), "same").select("query_id", "node")
+        spread = [r.node for r in self.nodes.select("node").orderBy("node").limit(how.beam // 2).collect()]
+        start = own.union(queries.select("query_id", F.explode(F.lit(spread).cast("array<long>")).alias("node"))).distinct()
+        # A query's list is one row, in order; a step's joins are by node, for its new entries only.
+        marks = keep(queries.select("query_id", self.packed("q").alias("a")))
+        found = F.array_sort(F.collect_list(F.struct("d", "node", F.lit(False).alias("seen"))))
+        pairs = lambda entries: entries.join(marks, "query_id").join(self.nodes.select("node", F.col("packed").alias("b")), "node")
+        measured = lambda entries: pairs(entries).select("query_id", "node", far("a", "b").alias("d")).groupBy("query_id").agg(found.alias("found"))
+        beams = keep(measured(start).select("query_id", F.slice("found", 1, how.beam).alias("beam")))
+        unseen = F.filter("beam", lambda x: ~x["seen"])
+        while self.graph is not None and not beams.where(F.size(unseen) > 0).isEmpty():
+            marked = F.transform(F.slice(unseen, 1, how.expand), lambda x: F.struct(x["d"].alias("d"), x["node"].alias("node"), F.lit(True).alias("seen")))
+            rest = F.slice(unseen, how.expand + 1, how.beam)
+            after = F.array_sort(F.concat(F.filter("beam", lambda x: x["seen"]), marked, rest))
+            now = beams.select("query_id", F.explode(F.slice(unseen, 1, how.expand)).alias("x")).select("query_id", F.col("x.node").alias("node"))
+            links = now.join(self.links, "node").groupBy("query_id").agg(F.array_distinct(F.flatten(F.collect_list("links"))).alias("links"))
+            new = links.join(beams, "query_id").select("query_id", F.explode(F.array_except("links", F.transform("beam", lambda x: x["node"]))).alias("node"))
+            merged = F.slice(F.array_sort(F.concat("beam", F.coalesce("found", F.array().cast("array<struct<d:double,node:bigint,seen:boolean>>")))), 1, how.beam)
+            turn = keep(beams.select("query_id", after.alias("beam")).join(measured(new), "query_id", "left").select("query_id", merged.alias("beam")))
+            drop(beams)
+            beams = turn
+        # The walk measures packed vectors; what it found is measured again on the original ones.
+        beam = beams.select("query_id", F.explode("beam").alias("x")).select("query_id", "x.node")
+        beam = beam.join(queries, "query_id").join(nodes.select("node", "vector"), "node").select("query_id", "node", exact.alias("d"))
         # Copies: the k + 1 smallest ids of each node are enough, as one may be the query.
         first = Window.partitionBy("same").orderBy("vec_id")
         ids = self.rows.select("same", "vec_id").distinct().withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= k + 1)
