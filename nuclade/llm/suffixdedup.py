@@ -46,9 +46,9 @@ class Repeats:
     #: Bytes of the shortest passage that counts; 64 at least.
     length: int = 200
     #: Different segments of one minimizer that go to one shard.
-    many: int = 4000
-    #: Bytes of a shard's text, about.
-    shard: int = 1_500_000
+    many: int = 2000
+    #: Bytes of a shard's text, about; sorting it takes some 200 times as much memory.
+    shard: int = 500_000
 
 
 def _powers(name: str, base: int, n: int) -> np.ndarray:
