@@ -60,7 +60,7 @@ def fill(weights: list[float], caps: list[float], total: float) -> list[float]:
 
 
 class Flow:
-    """Min-cost flow by successive shortest paths with potentials."""
+    """Min-cost flow by shortest paths with potentials and blocking flows."""
 
     def __init__(self, nodes: int) -> None:
         self.edges: list[list] = []  # to, capacity, cost
@@ -74,10 +74,14 @@ class Flow:
         return len(self.edges) - 2
 
     def run(self, source: int, sink: int) -> None:
-        """Saturate: costs are of edges without negative cycles at the start."""
+        """Saturate: costs are of edges without negative cycles at the start.
+
+        All paths of one cost are filled together, by blocking flows, so the
+        number of searches follows that of different costs.
+        """
         height = [0] * len(self.out)
         while True:
-            far, via = {source: 0}, {}
+            far = {source: 0}
             heap = [(0, source)]
             while heap:
                 d, a = heapq.heappop(heap)
@@ -86,24 +90,50 @@ class Flow:
                 for e in self.out[a]:
                     b, capacity, cost = self.edges[e]
                     if capacity > 0 and (n := d + cost + height[a] - height[b]) < far.get(b, n + 1):
-                        far[b], via[b] = n, e
+                        far[b] = n
                         heapq.heappush(heap, (n, b))
             if sink not in far:
                 return
             most = max(far.values())
             for a in range(len(height)):
                 height[a] += far.get(a, most)
-            room, b = None, sink
-            while b != source:
-                e = via[b]
-                room = self.edges[e][1] if room is None else min(room, self.edges[e][1])
-                b = self.edges[e ^ 1][0]
-            b = sink
-            while b != source:
-                e = via[b]
-                self.edges[e][1] -= room
-                self.edges[e ^ 1][1] += room
-                b = self.edges[e ^ 1][0]
+            while self._fill(source, sink, height):
+                pass
+
+    def _fill(self, source: int, sink: int, height: list[int]) -> bool:
+        """A blocking flow over edges that cost nothing under ``height``, by levels; whether there was any."""
+        edges, out = self.edges, self.out
+        level, queue = {source: 0}, [source]
+        for a in queue:
+            for e in out[a]:
+                b, capacity, cost = edges[e]
+                if capacity > 0 and b not in level and cost + height[a] == height[b]:
+                    level[b] = level[a] + 1
+                    queue.append(b)
+        if sink not in level:
+            return False
+        turn, path = [0] * len(out), []
+        while True:
+            a = edges[path[-1]][0] if path else source
+            if a == sink:
+                room = min(edges[e][1] for e in path)
+                for e in path:
+                    edges[e][1] -= room
+                    edges[e ^ 1][1] += room
+                # Back to before the first edge that is full.
+                del path[next(k for k, e in enumerate(path) if edges[e][1] == 0) :]
+                continue
+            while turn[a] < len(out[a]):
+                b, capacity, cost = edges[out[a][turn[a]]]
+                if capacity > 0 and level.get(b) == level[a] + 1 and cost + height[a] == height[b]:
+                    break
+                turn[a] += 1
+            if turn[a] < len(out[a]):
+                path.append(out[a][turn[a]])
+            elif path:
+                turn[edges[path.pop() ^ 1][0]] += 1
+            else:
+                return True
 
 
 def route(patterns: list[tuple[tuple[int, ...], int]], quotas: list[int], repeats: int) -> list[dict[int, int]]:
@@ -126,7 +156,7 @@ def route(patterns: list[tuple[tuple[int, ...], int]], quotas: list[int], repeat
     return [{q: flow.edges[e ^ 1][1] for q, e in own.items()} for own in arcs]
 
 
-def mix(docs: DataFrame, how: Mix | None = None, members: str | None = None) -> DataFrame:
+def mix(docs: DataFrame, how: Mix | None = None, members: str | None = None, carry: list[str] | None = None) -> DataFrame:
     """Each row of ``docs(doc_id, text, source)`` with the words the mix takes of it.
 
     ``members`` names a column of arrays of sources, where documents belong to
@@ -134,10 +164,13 @@ def mix(docs: DataFrame, how: Mix | None = None, members: str | None = None) ->
     doc_id, size, source_size, target, taken, repeats. A source's target is its
     share by weight, and at most ``repeats`` times its words. Null sources are
     one source, the last. Texts that are null or without words have size 0 and
-    are never taken. Rows that repeat a doc_id are rows of their own. An empty
-    table gives no rows. Other columns are ignored.
+    are never taken (repeats is 0). Rows that repeat a doc_id are rows of their
+    own. An empty table gives no rows. Other columns are ignored, but for those
+    in ``carry``, which come back beside these. More patterns than
+    ``how.max_patterns`` raise an error, as the driver solves for all of them.
     """
     how = how or Mix()
+    with_ = [f"with_{c}" for c in carry or []]
     own = F.col(members) if members else F.array("source")
     names = F.transform(own, lambda x: F.coalesce(F.concat(F.lit("="), x), F.lit("~")))
     rows = docs.select(
@@ -146,6 +179,7 @@ def mix(docs: DataFrame, how: Mix | None = None, members: str | None = None) ->
         F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("~")).alias("home"),
         F.array_join(F.array_sort(F.array_distinct(names)), "\x1f").alias("pattern"),
         seeded(how.seed, F.col("doc_id"), F.crc32(F.col("text").cast("binary"))).alias("digest"),
+        *(F.col(c).alias(w) for c, w in zip(carry or [], with_, strict=True)),
     ).withColumn("part", hex_bucket(F.col("digest"), DIGITS))
     rows = keep(rows)
     spark = docs.sparkSession
@@ -184,5 +218,5 @@ def mix(docs: DataFrame, how: Mix | None = None, members: str | None = None) ->
     inside = rows.where(cut).withColumn("before", F.col("before") + F.coalesce(F.sum("size").over(within), F.lit(0)))
     inside = inside.withColumn("extra", (F.col("before") + F.col("size") / 2 <= F.col("rest")).cast("long"))
     outside = rows.where(~cut).withColumn("extra", (F.col("after") <= F.col("rest")).cast("long"))
-    chosen = outside.unionByName(inside).withColumn("repeats", F.col("passes") + F.col("extra"))
-    return chosen.join(goal, "home").select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"), F.col("repeats").cast("int"))
+    chosen = outside.unionByName(inside).withColumn("repeats", F.when(F.col("size") > 0, F.col("passes") + F.col("extra")).otherwise(0))
+    return chosen.join(goal, "home").select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"), F.col("repeats").cast("int"), *(F.col(w).alias(c) for c, w in zip(carry or [], with_, strict=True)))
