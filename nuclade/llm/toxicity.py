@@ -34,7 +34,10 @@ QUOTES = "\"“”„«»‹›"
 PLAIN, QUOTED, DIRECT = 0, 1, 2
 #: Code points read at once; bounds memory, not the length of a text.
 STEP = 1 << 19
+#: Stands for letters and digits beyond the first 65,536 code points; no term has them.
+OTHER_LETTER = 0xE000
 _WORD_CHAR = np.array([chr(i).isalnum() if not 0xD800 <= i < 0xE000 else False for i in range(65536)])
+_WORD_CHAR[OTHER_LETTER] = True
 
 
 @dataclass(frozen=True)
@@ -46,7 +49,7 @@ class Fit:
     support: float = 0.002
     #: Share of toxic documents among those that have the term.
     purity: float = 0.85
-    max_terms: int = 400
+    #: Letters of a stem; whole words may have fewer or more.
     min_stem: int = 4
     max_length: int = 14
     window: int = 8
@@ -211,7 +214,11 @@ def hits(texts: list, automaton: Automaton, window: int) -> Iterator[list[tuple[
 def _hits(group: list[str], automaton: Automaton, window: int) -> list[list[tuple[int, int, int]]]:
     joined = "\n".join(group)
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    points = np.where(points < 65536, points, 0)
+    beyond = np.flatnonzero(points > 65535)
+    if len(beyond):
+        own, inverse = np.unique(points[beyond], return_inverse=True)
+        points = points.copy()
+        points[beyond] = np.array([OTHER_LETTER if chr(x).isalnum() else 0 for x in own.tolist()], dtype=np.uint32)[inverse]
     starts, ends, result = read(automaton, points)
     bounds = np.cumsum([0, *(len(x) + 1 for x in group)])
     found: list[list[tuple[int, int, int]]] = [[] for _ in group]
@@ -234,8 +241,7 @@ def _prefixes(text: str | None, fit: Fit) -> set[str]:
     low = (text or "").lower()
     for word in {w for w in "".join(c if c.isalnum() else " " for c in low).split()}:
         out.update(word[:n] for n in range(fit.min_stem, min(len(word), fit.max_length) + 1))
-        if fit.min_stem <= len(word) <= fit.max_length:
-            out.add(word + " ")
+        out.add(word + " ")
     return out
 
 
@@ -268,11 +274,11 @@ def _one_of_each(rows: DataFrame) -> DataFrame:
             least = [int(x[0]) if len(x) else 0 for x in shingle_sets(batch["text"].tolist(), 4)]
             yield batch.assign(twin=np.array(least, dtype=np.uint64).view(np.int64))
 
-    return rows.mapInPandas(run, "text string, toxic int, twin long").dropDuplicates(["twin", "toxic"]).drop("twin")
+    return rows.mapInPandas(run, "text string, toxic int, twin long").groupBy("twin", "toxic").agg(F.min("text").alias("text")).select("text", "toxic")
 
 
 def choose(counts: dict[str, tuple[int, int]], total: int, base: float, fit: Fit) -> list[tuple[str, bool]]:
-    """Terms among prefixes with ``(clean, toxic)`` counts: the shortest pure node, or the word it always grows into."""
+    """Terms among prefixes with ``(clean, toxic)`` counts: the shortest pure node, or the word it always grows into, and pure words without one."""
     least = max(fit.support * total, _least(base, len(counts)))
     pure = {p for p, (clean, toxic) in counts.items() if toxic >= least and toxic >= fit.purity * (toxic + clean)}
     terms: dict[str, bool | None] = {}
@@ -291,8 +297,11 @@ def choose(counts: dict[str, tuple[int, int]], total: int, base: float, fit: Fit
             node = longer[0]
         terms[p] = None  # keeps longer prefixes of this node out
         terms[node] = stem
+    for word in sorted(x[:-1] for x in pure if x.endswith(" ")):
+        if not any(word[:n] in terms for n in range(fit.min_stem, len(word) + 1)):
+            terms[word] = False
     chosen = [(t, s) for t, s in terms.items() if s is not None]
-    return sorted(chosen, key=lambda x: (-counts[x[0]][1], x[0]))[: fit.max_terms]
+    return sorted(chosen, key=lambda x: (-counts[x[0] if x[1] else f"{x[0]} "][1], x[0]))
 
 
 @dataclass
