@@ -19,6 +19,21 @@ from .common import hex_bucket, keep, n_bytes, rank_within, seeded
 
 #: Hex digits of a bucket: 4096 buckets of each source and of the line.
 DIGITS = 3
+#: Copies of a row that one task makes from their count.
+COPIES = 1 << 16
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Equal rows told apart by ``copy``, so that they too get places all over the line.
+
+    They are counted, with partial sums, and made again from their counts, a
+    bounded number in one task.
+    """
+    columns = rows.columns
+    counted = rows.groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))
+    blocks = counted.select(*columns, "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(COPIES).cast("long"))).alias("from"))
+    apart = blocks.where(f"n > {COPIES}").repartition("doc_id", "text_crc32", "from").unionByName(blocks.where(f"n <= {COPIES}"))
+    return apart.select(*columns, F.explode(F.sequence("from", F.least(F.col("from") + COPIES, F.col("n")) - 1)).alias("copy"))
 
 
 def interleave(docs: DataFrame, shards: int = 16, seed: int = 11) -> DataFrame:
@@ -36,8 +51,8 @@ def interleave(docs: DataFrame, shards: int = 16, seed: int = 11) -> DataFrame:
         n_bytes(F.col("text")).alias("bytes"),
         F.crc32(F.col("text").cast("binary")).alias("text_crc32"),
         F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("stratum"),
-    ).withColumn("digest", seeded(seed, F.col("doc_id")))
-    rows = keep(rows)
+    )
+    rows = keep(_numbered(rows).withColumn("digest", seeded(seed, F.col("doc_id"), F.col("text_crc32"), F.col("copy"))).drop("copy"))
     ties = [F.col("digest"), F.col("doc_id"), F.col("text_crc32"), F.col("bytes")]
     rows = rows.withColumn("part", hex_bucket(F.col("digest"), DIGITS))
     rows = rank_within(rows, ["stratum"], "part", ties, "nth")
