@@ -38,9 +38,16 @@ HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 PATH = r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)"
 
 
-def entries(spark: SparkSession) -> DataFrame:
-    rows = spark.createDataFrame(ENTRIES, "pattern string, verdict string, change string, day string")
-    return rows.withColumn("day", F.to_date("day"))
+def entries(spark: SparkSession, path: str | None = None) -> DataFrame:
+    """``(pattern, verdict, change, day)``: the fixed list, or CSV files with these four columns and a header line.
+
+    A verdict is ``block`` or ``allow``, a change ``listed`` or ``delisted``, a
+    day ``yyyy-mm-dd``; lines that aren't so are left out.
+    """
+    kind = "pattern string, verdict string, change string, day string"
+    rows = spark.createDataFrame(ENTRIES, kind) if path is None else spark.read.schema(kind).csv(path, header=True)
+    rows = rows.withColumn("day", F.try_to_date("day") if hasattr(F, "try_to_date") else F.expr("try_cast(day as date)"))
+    return rows.where("verdict in ('block', 'allow') and change in ('listed', 'delisted') and day is not null")
 
 
 def intervals(listed: DataFrame) -> DataFrame:
@@ -49,12 +56,18 @@ def intervals(listed: DataFrame) -> DataFrame:
     Of several changes of one pattern and verdict on a day, ``listed`` holds.
     Rows with a null are ignored.
     """
-    days = listed.dropna(subset=["pattern", "verdict", "change", "day"]).groupBy(F.lower("pattern").alias("pattern"), "verdict", "day").agg(F.max("change").alias("change"))
+    days = listed.dropna(subset=["pattern", "verdict", "change", "day"]).groupBy(_plain(F.col("pattern")).alias("pattern"), "verdict", "day").agg(F.max("change").alias("change"))
     in_order = Window.partitionBy("pattern", "verdict").orderBy("day")
     turns = days.withColumn("until", F.lead("day").over(in_order))
     return turns.where("change = 'listed'").select("pattern", "verdict", F.col("day").alias("since"), "until")
 
 
+def _plain(pattern: F.Column) -> F.Column:
+    """A pattern whose host is in lower case; paths differ in case."""
+    host = F.substring_index(pattern, "/", 1)
+    return F.concat(F.lower(host), F.substring(pattern, F.length(host) + 1, F.length(pattern)))
+
+
 def _keys(url: F.Column) -> tuple[F.Column, F.Column]:
     host = F.lower(F.regexp_extract(url, HOST, 1))
     labels = F.split(host, r"\.")
