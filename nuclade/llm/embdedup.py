@@ -60,8 +60,16 @@ def _unit(rows: list, width: int) -> tuple[np.ndarray, np.ndarray]:
     out = np.zeros((len(rows), width))
     for i, x in enumerate(rows):
         out[i, : len(x)] = x
-    norms = np.linalg.norm(out, axis=1)
-    return out, norms
+    # Scaled by powers of two, which changes no digit of a cosine, so that no square overflows or vanishes.
+    out = np.ldexp(out, -np.frexp(np.abs(out).max(axis=1, initial=0))[1][:, None])
+    return out, np.linalg.norm(out, axis=1)
+
+
+def _settled(root: np.ndarray) -> np.ndarray:
+    """Each entry's root."""
+    while (root[root] != root).any():
+        root = root[root]
+    return root
 
 
 def _links(x: np.ndarray, nx: np.ndarray, y: np.ndarray, ny: np.ndarray, same: bool, how: Tiles) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -84,11 +92,12 @@ def _links(x: np.ndarray, nx: np.ndarray, y: np.ndarray, ny: np.ndarray, same: b
                 yield u[sure], v[sure]
 
 
-def _place(rows: DataFrame, how: Tiles) -> tuple[DataFrame, list[tuple[int, int]], int]:
-    """Rows with a block, the pairs of blocks that links may cross, and the longest vector."""
+def _place(rows: DataFrame, how: Tiles) -> tuple[DataFrame, DataFrame, int] | None:
+    """Rows with a block, a row ``(block, i, j)`` of each block for each pair that links may cross, and the longest vector."""
+    spark = rows.sparkSession
     n, width = rows.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
     if not n:
-        return rows.withColumn("block", F.lit(0)), [], 0
+        return None
     sample = rows.select("vector").orderBy(F.xxhash64(F.lit(how.seed), "vec_id")).limit(min(how.pivots, max(1, n // how.block))).collect()
     points, norms = _unit([r.vector for r in sample], width)
     points /= norms[:, None]
@@ -97,33 +106,26 @@ def _place(rows: DataFrame, how: Tiles) -> tuple[DataFrame, list[tuple[int, int]
         for batch in batches:
             if len(batch):
                 x, nx = _unit(batch["vector"].tolist(), width)
-                yield batch.assign(pivot=(x @ points.T / nx[:, None]).argmax(axis=1).astype(np.int32))
+                cosine = x @ points.T / nx[:, None]
+                own = cosine.argmax(axis=1)
+                yield batch.assign(pivot=own.astype(np.int32), angle=np.arccos(np.clip(np.take_along_axis(cosine, own[:, None], axis=1)[:, 0], -1, 1)))
 
-    near = keep(rows.mapInPandas(nearest, "vec_id long, many long, vector array<float>, pivot int"))
+    near = keep(rows.mapInPandas(nearest, "vec_id long, many long, vector array<double>, pivot int, angle double"))
     parts = {r.pivot: -(-r["count"] // how.block) for r in near.groupBy("pivot").count().collect()}
     first, total = {}, 0
     for p in sorted(parts):
         first[p] = total
         total += parts[p]
-    start = F.create_map(*[F.lit(x) for p in sorted(parts) for x in (p, first[p])])[F.col("pivot")]
-    many = F.create_map(*[F.lit(x) for p in sorted(parts) for x in (p, parts[p])])[F.col("pivot")]
-    placed = near.withColumn("block", (start + F.pmod(F.xxhash64(F.lit(how.seed + 1), "vec_id"), many)).cast("int"))
-    # The angle of the row farthest from each pivot bounds its blocks.
-    def angles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                x, nx = _unit(batch["vector"].tolist(), width)
-                cosine = np.einsum("ij,ij->i", x, points[batch["pivot"].to_numpy()]) / nx
-                found = pd.DataFrame({"block": batch["block"], "angle": np.arccos(np.clip(cosine, -1, 1))})
-                yield found.groupby("block", as_index=False)["angle"].max()
-
-    wide = placed.mapInPandas(angles, "block int, angle double").groupBy("block").agg(F.max("angle").alias("angle")).collect()
-    reach = {r.block: r.angle + 1e-6 for r in wide}
-    owner = {first[p] + k: p for p in parts for k in range(parts[p])}
+    of_pivot = spark.createDataFrame([(p, first[p], parts[p]) for p in parts], "pivot int, first long, parts long")
+    placed = near.join(of_pivot, "pivot").withColumn("block", (F.col("first") + F.pmod(F.xxhash64(F.lit(how.seed + 1), "vec_id"), F.col("parts"))).cast("int"))
+    # The angle of the row farthest from its pivot bounds a block.
+    blocks = keep(placed.groupBy("pivot", "block").agg((F.max("angle") + 1e-6).alias("angle")))
     between = np.arccos(np.clip(points @ points.T, -1, 1))
+    pivots = spark.createDataFrame([(p, q, float(between[p, q])) for p in parts for q in parts], "p int, q int, between double")
+    side = lambda x, own: blocks.select(F.col("pivot").alias(own), F.col("block").alias(x), F.col("angle").alias(f"angle_{x}"))
     most = float(np.arccos(min(1.0, how.threshold)))
-    pairs = [(i, j) for i in sorted(reach) for j in sorted(reach) if i <= j and between[owner[i], owner[j]] - reach[i] - reach[j] <= most]
-    return placed, pairs, width
+    pairs = side("i", "p").join(pivots, "p").join(side("j", "q"), "q").where("i <= j").where(F.col("between") - F.col("angle_i") - F.col("angle_j") <= most)
+    return placed.drop("pivot", "angle", "first", "parts"), keep(pairs.select(F.explode(F.array_distinct(F.array("i", "j"))).alias("block"), "i", "j")), width
 
 
 def near_duplicates(vectors: DataFrame, how: Tiles | None = None, vector: str = "embedding") -> DataFrame:
@@ -142,18 +144,12 @@ def near_duplicates(vectors: DataFrame, how: Tiles | None = None, vector: str =
     all_rows = keep(raw.withColumn("same", F.when(F.coalesce(fit, F.lit(False)) & F.col("vec_id").isNotNull(), F.md5(F.array_join(F.transform("vector", lambda x: x.cast("string")), ",").cast("binary")))))
     classes = all_rows.where("same is not null").groupBy("same").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("many"))
     classes = keep(classes)
-    reps = all_rows.join(classes, "same").where("vec_id = rep").dropDuplicates(["vec_id", "same"]).select("vec_id", "many", F.col("vector").cast("array<float>").alias("vector"))
+    reps = all_rows.join(classes, "same").where("vec_id = rep").dropDuplicates(["vec_id", "same"]).select("vec_id", "many", F.col("vector").cast("array<double>").alias("vector"))
     # A vec_id with several vectors is one row for each of them.
-    placed, pairs, width = _place(keep(reps), how)
-    spark = vectors.sparkSession
-    if not pairs:
+    dealt = _place(keep(reps), how)
+    if dealt is None:
         return all_rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    partners: dict[int, list[int]] = {}
-    for i, j in pairs:
-        partners.setdefault(i, []).append(j)
-        if i != j:
-            partners.setdefault(j, []).append(i)
-    seats = spark.createDataFrame([(b, min(b, c), max(b, c)) for b, own in partners.items() for c in own], "block int, i int, j int")
+    placed, seats, width = dealt
 
     def run(batch: pd.DataFrame) -> pd.DataFrame:
         i, j = int(batch["i"].iloc[0]), int(batch["j"].iloc[0])
@@ -170,19 +166,20 @@ def near_duplicates(vectors: DataFrame, how: Tiles | None = None, vector: str =
         for u, v in _links(x, nx, y, ny, i == j, how):
             np.add.at(cx, u, my[v])
             np.add.at(cy, v, mx[u])
-            for a, b in zip(u.tolist(), (v + shift).tolist(), strict=True):
+            root = _settled(root)
+            a, b = root[u], root[v + shift]
+            # Only links between parts that nothing has joined yet are looked at one by one.
+            for a, b in np.unique(np.stack([a, b], axis=1)[a != b], axis=0).tolist():
                 while root[a] != a:
                     a = root[a] = root[root[a]]
                 while root[b] != b:
                     b = root[b] = root[root[b]]
                 root[max(a, b)] = min(a, b)
+        root = _settled(root)
         ids = left["vec_id"].to_numpy() if i == j else np.concatenate([left["vec_id"].to_numpy(), right["vec_id"].to_numpy()])
         n = cx + cy if i == j else np.concatenate([cx, cy])
-        for a in range(len(root)):
-            while root[a] != root[root[a]]:
-                root[a] = root[root[a]]
         some = n > 0
-        return pd.DataFrame({"u": ids[some], "v": ids[root[some]], "n": n[some]})
+        return pd.DataFrame({"u": ids[some], "v": ids[root][some], "n": n[some]})
 
     # Each pair of blocks is a task's group; its rows stay under two blocks.
     dealt = placed.join(seats, "block").select("vec_id", "many", "vector", "block", "i", "j")

@@ -87,6 +87,19 @@ def test_flow_is_cheapest_on_overlapping_sources():
     assert (-sum(into), cost(used)) == best and all(i <= q for i, q in zip(into, quotas, strict=True))
 
 
+def test_flow_of_many_patterns_is_quick_and_full():
+    from nuclade.llm.mixing import route
+
+    rng = random.Random(14)
+    patterns = [(tuple(sorted(rng.sample(range(12), rng.randint(1, 4)))), rng.randint(1, 9)) for _ in range(20_000)]
+    quotas = [rng.randint(5_000, 20_000) for _ in range(12)]
+    sent = route(patterns, quotas, 2)
+    into = [sum(x.get(q, 0) for x in sent) for q in range(12)]
+    assert into == quotas and all(set(x) == set(m) and sum(x.values()) <= 2 * w for x, (m, w) in zip(sent, patterns, strict=True))
+    # Nothing is taken twice while something else of its members' could be taken once.
+    assert sum(quotas) <= sum(w for _, w in patterns) * 2
+
+
 def test_mix_meets_targets(spark, docs, plain):
     from nuclade.llm.mixing import Mix, fill, mix
 
@@ -104,7 +117,7 @@ def test_mix_meets_targets(spark, docs, plain):
     taken, largest = Counter(), Counter()
     for r in out:
         assert r.size == len(WORD.findall(text[r.doc_id] or "")) and 0 <= r.taken <= 2 * r.size and r.source_size == sizes[source[r.doc_id]]
-        assert math.isclose(r.target, goal[source[r.doc_id]])
+        assert math.isclose(r.target, goal[source[r.doc_id]]) and (r.repeats == 0 if r.size == 0 else r.taken == r.size * r.repeats)
         taken[source[r.doc_id]] += r.taken
         largest[source[r.doc_id]] = max(largest[source[r.doc_id]], r.size)
     assert all(abs(taken[s] - goal[s]) <= largest[s] for s in order)
@@ -174,6 +187,34 @@ def test_neighbours_within_a_group_of_near_copies(spark):
     assert hits / (10 * len(found)) > 0.9
 
 
+@pytest.mark.parametrize("offset", [0.0, 30.0, 1000.0])
+def test_neighbours_off_the_origin_and_in_doubles(spark, offset):
+    from nuclade.llm.annsearch import search_every
+
+    x = np.random.default_rng(4).standard_normal((800, 16)) + offset
+    x[1] = x[0] + 1e-9
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    out = search_every(df, every=40).collect()
+    hits = 0
+    for q in range(0, 800, 40):
+        d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        d[q] = np.inf
+        own = [r for r in out if r.query_id == q]
+        assert all(math.isclose(r.score, d[r.vec_id], rel_tol=1e-9) for r in own)
+        hits += len({r.vec_id for r in own} & set(np.argsort(d)[:10].tolist()))
+    assert hits >= 0.95 * 200
+    assert next(r for r in out if r.query_id == 0 and r["rank"] == 1).vec_id == 1
+
+
+def test_links_of_doubles_of_any_size(spark):
+    from nuclade.llm.embdedup import near_duplicates
+
+    own = [(1, [1e300, 1e300]), (2, [1e-300, 1.0000001e-300]), (3, [1e200, -1e200]), (4, [3.0, 3.1]), (5, [1.0, 0.72]), (6, [1.0, 0.7])]
+    out = {r.vec_id: r.n_links for r in near_duplicates(spark.createDataFrame(own, "vec_id long, embedding array<double>")).collect()}
+    cosine = lambda a, b: (a[0] / max(map(abs, a)) * b[0] / max(map(abs, b)) + a[1] / max(map(abs, a)) * b[1] / max(map(abs, b))) / math.hypot(*(v / max(map(abs, a)) for v in a)) / math.hypot(*(v / max(map(abs, b)) for v in b))
+    assert out == {i: sum(j != i and cosine(a, b) >= 0.95 for j, b in own) for i, a in own}
+
+
 def test_trees_split_a_group_of_near_copies_each_otherwise(spark):
     from nuclade.llm.annsearch import Graph, Index
 
@@ -210,9 +251,9 @@ def test_url_filter(spark):
     from nuclade.llm.urlfilter import evaluate, intervals
 
     day = dt.date
-    listed = spark.createDataFrame([("a.com", "block", "listed", day(2024, 1, 1)), ("a.com", "block", "delisted", day(2024, 2, 1)), ("a.com", "block", "listed", day(2024, 3, 1)), ("x.a.com", "allow", "listed", day(2024, 1, 5)), ("b.org/p/q", "block", "listed", day(2024, 1, 1)), (None, "block", "listed", day(2024, 1, 1))], "pattern string, verdict string, change string, day date")
-    assert intervals(listed).count() == 4
-    cases = [("http://a.com/", day(2024, 1, 1), True), ("http://A.COM:80/z?q", day(2024, 1, 31), True), ("http://a.com/", day(2024, 2, 1), False), ("http://u@y.a.com#f", day(2024, 3, 9), True), ("http://x.a.com/", day(2024, 1, 6), False), ("http://x.a.com/", day(2024, 1, 2), True), ("https://b.org/p/q/r", day(2024, 5, 5), True), ("https://b.org/p", day(2024, 5, 5), False), ("http://na.com/", day(2024, 1, 2), False), (None, day(2024, 1, 2), False), ("a.com", day(2024, 1, 2), False), ("http://a.com/", None, False)]
+    listed = spark.createDataFrame([("a.com", "block", "listed", day(2024, 1, 1)), ("a.com", "block", "delisted", day(2024, 2, 1)), ("a.com", "block", "listed", day(2024, 3, 1)), ("x.a.com", "allow", "listed", day(2024, 1, 5)), ("b.org/p/q", "block", "listed", day(2024, 1, 1)), ("C.com/Foo", "block", "listed", day(2024, 1, 1)), (None, "block", "listed", day(2024, 1, 1))], "pattern string, verdict string, change string, day date")
+    assert intervals(listed).count() == 5
+    cases = [("http://a.com/", day(2024, 1, 1), True), ("http://A.COM:80/z?q", day(2024, 1, 31), True), ("http://a.com/", day(2024, 2, 1), False), ("http://u@y.a.com#f", day(2024, 3, 9), True), ("http://x.a.com/", day(2024, 1, 6), False), ("http://x.a.com/", day(2024, 1, 2), True), ("https://b.org/p/q/r", day(2024, 5, 5), True), ("https://b.org/p", day(2024, 5, 5), False), ("http://na.com/", day(2024, 1, 2), False), ("http://c.COM/Foo/x", day(2024, 1, 2), True), ("http://c.com/foo/x", day(2024, 1, 2), False), (None, day(2024, 1, 2), False), ("a.com", day(2024, 1, 2), False), ("http://a.com/", None, False)]
     rows_ = [(i, u, d, "x") for i, (u, d, _) in enumerate(cases)]
     df = spark.createDataFrame([*rows_, rows_[0]], "page_id long, url string, fetched date, key string")
     out = evaluate(df, listed).collect()
@@ -220,6 +261,14 @@ def test_url_filter(spark):
     assert evaluate(df.where("false"), listed).count() == 0
 
 
+def test_lists_of_urls_are_read_from_files(spark, tmp_path):
+    from nuclade.llm.urlfilter import entries
+
+    (tmp_path / "list.csv").write_text("pattern,verdict,change,day\na.com,block,listed,2024-01-01\nb.com/X,allow,delisted,2024-02-30\nc.com,maybe,listed,2024-01-01\nd.com/Y,allow,listed,2024-03-01\n")
+    assert [(r.pattern, r.verdict, str(r.day)) for r in entries(spark, str(tmp_path / "list.csv")).orderBy("pattern").collect()] == [("a.com", "block", "2024-01-01"), ("d.com/Y", "allow", "2024-03-01")]
+    assert entries(spark).count() > 0
+
+
 def test_license_rules(spark):
     from nuclade.llm.licenses import SENTENCES, scan
 
@@ -288,10 +337,33 @@ CC = """This work is licensed under a Creative Commons
 Attribution-ShareAlike 4.0 International License."""
 
 
+AGPL3 = GPL3.replace("GNU General", "GNU Affero General")
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
+REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY
+AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE"""
+EPL = """This program and the accompanying materials are made available under the
+terms of the Eclipse Public License 2.0 which is available at
+https://www.eclipse.org/legal/epl-2.0/"""
+ZLIB = """This software is provided 'as-is', without any express or implied
+warranty. In no event will the authors be held liable for any damages
+arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:"""
+UNLICENSE = "This is free and unencumbered software released into the public domain."
+BOOST = """Distributed under the Boost Software License, Version 1.0.
+(See accompanying file LICENSE_1_0.txt)"""
+
+
 def test_standard_headers_with_line_breaks(spark):
     from nuclade.llm.licenses import scan
 
-    headers = [(APACHE, "Apache-2.0"), (MIT, "MIT"), (BSD, "BSD-2-Clause"), (BSD3, "BSD-3-Clause"), (GPL3, "GPL-3.0-or-later"), (GPL2, "GPL-2.0-or-later"), (GPL2.replace("; either", "; ").replace(", or\n(at your option) any later version", ""), "GPL-2.0-only"), (LGPL21, "LGPL-2.1-or-later"), (MPL, "MPL-2.0"), (CC, "CC-BY-SA-4.0")]
+    headers = [(APACHE, "Apache-2.0"), (MIT, "MIT"), (BSD, "BSD-2-Clause"), (BSD3, "BSD-3-Clause"), (GPL3, "GPL-3.0-or-later"), (GPL2, "GPL-2.0-or-later"), (GPL2.replace("; either", "; ").replace(", or\n(at your option) any later version", ""), "GPL-2.0-only"), (LGPL21, "LGPL-2.1-or-later"), (MPL, "MPL-2.0"), (CC, "CC-BY-SA-4.0"), (AGPL3, "AGPL-3.0-or-later"), (ISC, "ISC"), (EPL, "EPL-2.0"), (ZLIB, "Zlib"), (UNLICENSE, "Unlicense"), (BOOST, "BSL-1.0")]
     forms = [lambda x: x, lambda x: x.replace("\n", "\r\n")] + [lambda x, m=m: "\n".join(m + line for line in x.split("\n")) for m in (" * ", "// ", "# ", "; ", "    ")]
     cases = [(form(f"Some words before\n{text}\n\nand after"), name) for text, name in headers for form in forms]
     cases += [("Licensed under the\n\nMIT License", ""), ("Licensed under. the MIT License", ""), ("prose\nReleased under the MIT License\nprose", "MIT"), ("a|Released under the MIT License", "")]
@@ -330,6 +402,39 @@ def test_best_segmentations_are_those_of_all():
     assert next(iter(Encoder(v, 2).encode([long_])))[1][0][0] == v.search("▁" + long_, 1)[0][0]
 
 
+def test_best_segmentations_of_runs_and_long_chunks(monkeypatch):
+    from nuclade.llm import pieces
+
+    normal = ["a", "aa", "aaa", "b", "ab", "▁", "▁▁", "▁a"]
+    texts_ = ["<unk>", *normal, *[f"<0x{i:02X}>" for i in range(256)]]
+    v = pieces.Vocabulary(texts_, [0.0, -1, -2, -3, -1, -2, -1, -2, -1.5, *[0.0] * 256], list(range(1, 9)), list(range(9, 265)), 0)
+    rng = random.Random(3)
+    cases = ["a" * 90, " " * 70, "b" * 80, "xa" * 40, *("".join(rng.choice("aab▁x") for _ in range(rng.randint(1, 150))) for _ in range(40))]
+
+    def best(chunk, n):
+        tops = [[0.0]] + [[] for _ in chunk]
+        for end in range(1, len(chunk) + 1):
+            for k in range(1, min(3, end) + 1):
+                i = v.by_text.get(chunk[end - k : end], -1)
+                if i >= 0 or (k == 1):
+                    tops[end] += [x + (v.scores[i] if i >= 0 else v.unknown_score) for x in tops[end - k]]
+            tops[end] = sorted(tops[end], reverse=True)[:n]
+        return tops[-1]
+
+    seen = []
+    for wide in (64, 0):
+        monkeypatch.setattr(pieces, "WIDE", wide)
+        seen.append([(ids.tolist(), found) for ids, found in pieces.Encoder(v, 4).encode(cases)])
+        for text, (ids, found) in zip(cases, seen[-1], strict=True):
+            assert [s for s, _ in found] == pytest.approx(best("▁" + text.replace(" ", "▁"), 4)) and found[0][1] == len(ids)
+            assert v.decode(ids) == text.replace("▁", " ")
+    assert seen[0] == seen[1]
+    real = pieces.Vocabulary.load()
+    for text in ["a" + " " * 1001, "=" * 30_000, " " * 100_000, "-" * 3001, "th" * 50_000]:
+        ids, found = next(iter(pieces.Encoder(real, 4).encode([text])))
+        assert real.decode(ids.tolist()) == text and len(found) == 4
+
+
 def test_real_vocabulary_round_trip(spark, docs, plain):
     from nuclade.llm.pieces import Vocabulary, decode, encode
 
@@ -399,6 +504,28 @@ def test_scores_follow_labels(spark):
     assert score(df, nothing).where("predicted = 1").count() == 0 and score(df.where("false"), nothing).count() == 0
 
 
+def test_choice_of_terms_and_letters_beyond_the_first_plane():
+    from nuclade.llm.toxicity import Fit, choose, hits, intersect
+
+    counts = {"bad ": (0, 30), "badg": (40, 1), "badge ": (40, 1), "grum": (0, 25), "grump": (0, 25), "grump ": (0, 25), "fine ": (80, 2)}
+    assert choose(counts, 60, 0.2, Fit()) == [("bad", False), ("grump", False)]
+    words = ["bad", "badge", "\U0001d41bad", "bad\U0001f600", "\U0001f600 grumpp", "BAD", "ba"]
+    assert [len(x) for x in hits(words, intersect([("bad", False), ("grump", False)]), 3)] == [1, 0, 0, 1, 1, 1, 0]
+
+
+def test_held_out_rows_are_told_apart(spark):
+    from nuclade.llm.toxicity import score, train
+
+    rng = random.Random(15)
+    bad = ["grumph", "blatherskite", "snollygoster", "muckspout"]
+    own = [(i, f"{sentence(rng, 30)} {rng.choice(bad)} {sentence(rng, 5)}" if i % 6 == 0 else sentence(rng, 35), "en", "s", 0, 1, "x", 1) for i in range(900)]
+    df = spark.createDataFrame(own, DOCS)
+    labels = spark.createDataFrame([(i, 1, int(i % 6 == 0)) for i in range(900)], "doc_id long, quality int, toxic int")
+    out = score(df, train(df, labels)).where("held_out").collect()
+    good, ill = [r.score for r in out if r.doc_id % 6], [r.score for r in out if r.doc_id % 6 == 0]
+    assert len(ill) > 15 and np.mean([(a > b) + (a == b) / 2 for a in ill for b in good]) > 0.98
+
+
 # --------------------------------------------------------------- 7, suffix arrays
 
 
@@ -549,6 +676,15 @@ def test_shards_are_even_and_match_the_mixture(spark, docs, plain):
     assert interleave(empty(spark)).count() == 0
 
 
+def test_copies_of_a_row_are_spread_over_shards(spark, monkeypatch):
+    from nuclade.llm import sharding
+
+    monkeypatch.setattr(sharding, "COPIES", 7)
+    own = [(1, "same", "en", "s", 0, 1, "x", 1)] * 64 + [(None, None, "en", None, 0, 1, "x", 1)] * 32
+    out = sharding.interleave(spark.createDataFrame(own, DOCS)).collect()
+    assert Counter((r["shard"], r.doc_id) for r in out) == Counter({(k, i): n for k in range(16) for i, n in ((1, 4), (None, 2))})
+
+
 # --------------------------------------------------------------------- pipeline
 
 
@@ -576,3 +712,25 @@ def test_pipeline_stages(spark, tmp_path):
     mixed = p.mixture(spark, once, str(tmp_path))
     assert mixed.columns == p.COLUMNS and max(Counter(r.doc_id for r in mixed.collect()).values()) <= 2
     assert p.pieces(spark, mixed, str(tmp_path)).where("exact").count() == mixed.count()
+
+
+def test_pipeline_with_nulls_and_repeated_ids_end_to_end(spark, tmp_path):
+    import corpus_pipeline as p
+
+    rng = random.Random(13)
+    own = [(i, sentence(rng, 40), "en", f"s{i % 2}", 0) for i in range(30)]
+    two = [sentence(rng, 40) for _ in range(3)]
+    own += [(50, two[0], "en", "s0", 0), (50, two[1], "en", "s0", 0), (50, two[1], "en", "s0", 0), (None, two[2], None, None, None)]
+    own += [(60, None, "en", "s1", 0), (61, "", "en", "s1", 0), (62, " \n ", None, None, 3), (None, None, None, None, None)]
+    spark.createDataFrame(own, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1, 0) for i in range(30)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs_ = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    once = p.near_dedup(spark, docs_, str(tmp_path))
+    assert Counter((r.doc_id, r.text) for r in once.collect()) == Counter(dict.fromkeys({(i, t) for i, t, *_ in own}, 1))
+    mixed = Counter((r.doc_id, r.text) for r in p.mixture(spark, docs_, str(tmp_path)).collect())
+    assert all(t and t.split() for _, t in mixed) and mixed[(None, two[2])] in (1, 2) and all(n <= 2 * own.count(x) for x, n in ((next(o for o in own if o[:2] == k), n) for k, n in mixed.items()))
+    out = p.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in out} <= {i for i, t, *_ in own if t and t.split()} and {50, None} <= {r.doc_id for r in out} | {50, None}
+    assert all(r.exact and r.n_tokens == len(r.ids) > 0 for r in out) and len(out) > 25
+    spark.createDataFrame([], docs_.schema).write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
+    assert p.run(spark, str(tmp_path)).count() == 0
