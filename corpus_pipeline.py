@@ -19,12 +19,16 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group (five words, 0.8) stays: the smallest doc_id."""
+    """One document of each near-duplicate group (five words, 0.8) stays: the smallest doc_id.
+
+    Rows of one id are one document: if it stays, each of its different texts
+    stays once. Rows without an id are no copies of one another and all stay.
+    """
     from nuclade.llm.minhash import MinHash, near_duplicates
 
-    kept = near_duplicates(docs, MinHash()).where("kept and doc_id is not null").select("doc_id")
-    one_each = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one_each.unionByName(docs.where("doc_id is null")).select(*COLUMNS)
+    kept = near_duplicates(docs, MinHash()).where("kept and doc_id is not null").select("doc_id").distinct()
+    one_each = docs.join(kept, "doc_id", "left_semi").withColumn("th", F.xxhash64("text")).dropDuplicates(["doc_id", "th"])
+    return one_each.select(*COLUMNS).unionByName(docs.where("doc_id is null").select(*COLUMNS))
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,11 +40,19 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of ``op1``: a document taken twice is two rows; one that isn't taken, or without words, goes."""
+    """The mix of ``op1``: a row taken twice is two rows; one that isn't taken goes, as do texts without words.
+
+    Rows that are equal in all columns are one with the sum of their times. A
+    row without an id is taken like any other.
+    """
     from nuclade.llm.mixing import mix
 
-    taken = mix(docs).where("repeats > 0 and doc_id is not null").groupBy("doc_id").agg(F.max("repeats").alias("times"))
-    return docs.join(taken, "doc_id").withColumn("copy", F.explode(F.expr("sequence(1, times)"))).select(*COLUMNS)
+    # Null ids are 0 in the key, and told apart by the hash.
+    key = [F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64(*COLUMNS, F.col("doc_id").isNull()).alias("row")]
+    docs = docs.select(*COLUMNS, *key)
+    taken = mix(docs, carry=["id", "row"]).where("repeats > 0").groupBy("id", "row").agg(F.sum("repeats").cast("int").alias("times"))
+    once = docs.dropDuplicates(["id", "row"])
+    return once.join(taken, ["id", "row"]).withColumn("copy", F.explode(F.expr("sequence(1, times)"))).select(*COLUMNS)
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
