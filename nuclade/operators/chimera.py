@@ -3,7 +3,7 @@
 Candidates come from the same words-and-alignment search as other queries, on
 parts of each query as rows of their own; a query's candidates are aligned with
 the whole query and judged together. De novo modes take parents among earlier
-sequences that aren't chimeras themselves, in rounds of a fixed number of rows.
+sequences that aren't chimeras themselves, in rounds until these stay the same.
 """
 
 from __future__ import annotations
@@ -12,11 +12,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
 from .search import Search, globally, side
+from .shared import drop, keep
+from .transforms import numbered
 
 COLUMNS = ["score", "query", "parent_a", "parent_b", "closest", "id_qm", "id_qa", "id_qb", "id_ab", "id_qt", "left_y", "left_n", "left_a", "right_y", "right_n", "right_a", "divergence", "flag"]
 SCHEMA = "q long, score double, query string, parent_a string, parent_b string, closest string, id_qm double, id_qa double, id_qb double, id_ab double, id_qt double, left_y int, left_n int, left_a int, right_y int, right_n int, right_a int, divergence double, flag string"
@@ -188,10 +190,10 @@ def _parts(reads: DataFrame, how: Chimera) -> DataFrame:
     return rows.select((F.col("seqno") * 128 + F.col("part")).alias("seqno"), "header", F.substring("seq", start + 1, stop - start).alias("seq"), "qual", "size", "sample").where(F.length("seq") > 0)
 
 
-def detect(queries: DataFrame, targets: DataFrame, how: Chimera | None = None, before: list | None = None) -> DataFrame:
+def detect(queries: DataFrame, targets: DataFrame, how: Chimera | None = None, before: list | None = None, within: Column | None = None) -> DataFrame:
     """A row of ``COLUMNS`` for each query, with parents among ``targets``."""
     how = how or Chimera()
-    search = Search(id=0.55, max_accepts=4, max_rejects=16, mask="dust", before=before or [])
+    search = Search(id=0.55, max_accepts=4, max_rejects=16, mask="dust", before=before or [], within=within)
     hits = globally(_parts(queries, how), targets, search)
     pairs = hits.select(F.floor(F.col("q") / 128).cast("long").alias("q"), "t").distinct().where("q <> t")
     whole = pairs.join(side(queries, "q"), "q").join(side(targets, "t"), "t")
@@ -210,28 +212,26 @@ def detect(queries: DataFrame, targets: DataFrame, how: Chimera | None = None, b
     return rest.join(judged, "q", "left").withColumn("query", F.col("h")).drop("h").withColumn("score", F.coalesce("score", F.lit(0.0))).withColumn("flag", F.coalesce("flag", F.lit("N")))
 
 
-def denovo(reads: DataFrame, how: Chimera | None = None, block: int = 256) -> DataFrame:
-    """As ``detect``, with parents among more abundant sequences that aren't chimeras.
+def denovo(reads: DataFrame, how: Chimera | None = None) -> DataFrame:
+    """As ``detect``, with parents among sequences that come earlier, are ``abskew`` times as abundant and aren't chimeras.
 
-    Rows go in order of abundance. A round judges a block of a fixed size; its
-    rows can only have parents of ``abskew`` times their abundance, so a block
-    ends where a row could have a parent within it.
+    Rows go in order of abundance, label and seqno. A row's verdict depends on
+    earlier ones only through those of them that are chimeras, so all rows are
+    judged at once, with the chimeras of the round before left out, until these
+    stay the same: after k rounds all rows are final that hang on fewer than k
+    others in turn. What is between rounds is a table in the shared folder.
     """
     how = how or Chimera(rule="denovo")
-    spark = reads.sparkSession
-    order = reads.orderBy(F.col("size").desc(), "header", "seqno").select("seqno", "size").toLocalIterator(prefetchPartitions=True)
-    blocks: list[list[tuple[int, int]]] = []
-    for r in order:
-        if blocks and len(blocks[-1]) < block and blocks[-1][0][1] < how.abskew * r.size:
-            blocks[-1].append((r.seqno, r.size))
-        else:
-            blocks.append([(r.seqno, r.size)])
-    clean = reads.limit(0)
-    out = None
-    for rows in blocks:
-        own = reads.join(F.broadcast(spark.createDataFrame([(x,) for x, _ in rows], "seqno long")), "seqno").select(*reads.columns)
-        judged = detect(own, clean, how, [F.col("t_size") >= how.abskew * F.col("q_size")])
-        judged = spark.createDataFrame(judged.collect(), judged.schema)
-        clean = clean.union(own.join(judged.where("flag <> 'Y'").select(F.col("q").alias("seqno")), "seqno", "left_semi"))
-        out = judged if out is None else out.union(judged)
-    return out if out is not None else detect(reads, reads, how)
+    placed = keep(numbered(reads, [F.col("size").desc(), F.col("header"), F.col("seqno")]).withColumnRenamed("seqno", "own").withColumn("seqno", F.col("nth")))
+    rows = placed.select("seqno", "header", "seq", "qual", "size", "sample")
+    earlier = F.col("t") < F.floor(F.col("q") / 128)
+    known = None
+    while True:
+        targets = rows if known is None else rows.join(known.where("flag = 'Y'").select(F.col("q").alias("seqno")), "seqno", "left_anti")
+        judged = keep(detect(rows, targets, how, [F.col("t_size") >= how.abskew * F.col("q_size")], earlier))
+        same = known is not None and known.where("flag = 'Y'").select("q").exceptAll(judged.where("flag = 'Y'").select("q")).isEmpty() and judged.where("flag = 'Y'").select("q").exceptAll(known.where("flag = 'Y'").select("q")).isEmpty()
+        if same or (known is None and judged.where("flag = 'Y'").isEmpty()):
+            return judged.join(placed.select(F.col("seqno").alias("q"), "own"), "q").withColumn("q", F.col("own")).drop("own")
+        if known is not None:
+            drop(known)
+        known = judged

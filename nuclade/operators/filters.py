@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..functions import quals
 
 BIG = 2**31 - 1
 
@@ -48,14 +49,11 @@ def analyse(reads: DataFrame, how: Quality) -> DataFrame:
         length = F.least(length, F.lit(how.trunc_len_keep))
     rows = reads.withColumn("_old", n).withColumn("_len", length)
     rows = rows.withColumn("seq", cut("seq", start + 1, F.col("_len"))).withColumn("qual", cut("qual", start + 1, F.col("_len")))
-    state = F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("ee"), F.lit(False).alias("stop"), F.lit(False).alias("low"))
 
-    def step(s, q):
-        ee = s.ee + C.error(q)
-        ends = s.stop | (q <= how.trunc_qual) | (ee > how.trunc_ee) | (ee > how.trunc_ee_rate * (s.n + 1))
-        return F.struct(F.when(ends, s.n).otherwise(s.n + 1).alias("n"), F.when(ends, s.ee).otherwise(ee).alias("ee"), ends.alias("stop"), (s.low | (~ends & (q < how.min_qual))).alias("low"))
+    def stops(q, ee, n):
+        return (q <= how.trunc_qual) | (ee > how.trunc_ee) | (ee > how.trunc_ee_rate * n)
 
-    rows = rows.withColumn("_s", F.aggregate(C.scores(F.col("qual"), how.offset), state, step))
+    rows = rows.withColumn("_s", quals.scan(F.col("qual"), stops, how.min_qual, how.offset))
     rows = rows.withColumn("len", F.col("_s.n")).withColumn("ee", F.col("_s.ee"))
     rows = rows.withColumn("seq", cut("seq", 1, F.col("len"))).withColumn("qual", cut("qual", 1, F.col("len")))
     ns = F.length("seq") - F.length(F.translate("seq", "Nn", ""))

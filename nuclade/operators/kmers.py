@@ -8,8 +8,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions import columns as C
+from ..functions import words
 from ..functions.kernels import dust
 
+#: Rows of a block of queries and of targets.
+QUERIES, TARGETS = 256, 8192
+
 
 @F.pandas_udf(StringType())
 def dust_masked(seq: pd.Series) -> pd.Series:
@@ -27,22 +31,34 @@ def postings(reads: DataFrame, k: int = 8) -> DataFrame:
     return reads.select("seqno", F.explode(C.words(F.col("seq"), k)).alias("word"))
 
 
-def shared(queries: DataFrame, targets: DataFrame, k: int = 8) -> DataFrame:
-    """``(q, t, shared)``: words that a query and a target have in common.
+def shared(queries: DataFrame, targets: DataFrame, k: int = 8, least: int = 1, top: int | None = None) -> DataFrame:
+    """``(q, t, shared, t_len)``: distinct words that a query and a target have in common, ``least`` of them or all that a query has.
 
-    An equality join and a count with a partial aggregate; AQE splits the
-    partitions of frequent words, and none is dropped.
+    Rows are dealt to blocks by hash, and each pair of blocks is one group, whose
+    counts are an array in its task; no word is dropped, and pairs leave a task
+    only if they share enough words and, with ``top``, are among a query's best
+    there. Null sequences and those without words share nothing; reads that
+    repeat a seqno are counted by row.
     """
-    left = postings(queries, k).withColumnRenamed("seqno", "q")
-    right = postings(targets, k).withColumnRenamed("seqno", "t")
-    return left.join(right, "word").groupBy("q", "t").agg(F.count(F.lit(1)).alias("shared"))
+    rows = lambda x, name: x.where("seq is not null").select(F.col("seqno").alias(name), "seq")
+    left, right = rows(queries, "q"), rows(targets, "t")
+    # Counted without the sequences, so that masking isn't done for a count.
+    n, m = (max(1, -(-x.count() // size)) for x, size in ((queries, QUERIES), (targets, TARGETS)))
+    block = lambda name, of: F.pmod(F.xxhash64(name), F.lit(of)).cast("int")
+    left = left.withColumn("i", block("q", n)).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+    right = right.withColumn("j", block("t", m)).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        return words.shared(a, b, k, least, top)
+
+    return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(run, "q long, t long, shared long, t_len long")
 
 
 def orient(queries: DataFrame, targets: DataFrame, k: int = 12) -> DataFrame:
     """``(seqno, forward, reverse, strand)``: votes of a read's words for its strand; + or -, or ? without a clear majority."""
     counts = postings(targets, k).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    words = postings(queries, k).withColumn("rc", C.reverse_complement(F.col("word")))
-    hits = words.join(counts, "word", "left").withColumnRenamed("n", "ahead")
+    own = postings(queries, k).withColumn("rc", C.reverse_complement(F.col("word")))
+    hits = own.join(counts, "word", "left").withColumnRenamed("n", "ahead")
     hits = hits.join(counts.select(F.col("word").alias("rc"), F.col("n").alias("behind")), "rc", "left").fillna(0, ["ahead", "behind"])
     votes = hits.groupBy("seqno").agg(F.count(F.when(F.col("ahead") > 8 * F.col("behind"), 1)).alias("forward"), F.count(F.when(F.col("behind") > 8 * F.col("ahead"), 1)).alias("reverse"))
     votes = queries.select("seqno").join(votes, "seqno", "left").fillna(0, ["forward", "reverse"])

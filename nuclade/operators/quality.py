@@ -1,21 +1,43 @@
-"""Statistics of symbols, lengths and qualities, as aggregates of exploded positions."""
+"""Statistics of symbols, lengths and qualities: sums by position within batches, then one small shuffle.
+
+Reads without a sequence or quality count for nothing in these; an empty table
+gives no rows, but for statistics of the whole table, which give one.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import columns as C
+from ..functions import quals
 
 
 def positions(reads: DataFrame, offset: int = 33, floor: bool = False) -> DataFrame:
-    """``(seqno, pos, q, p, ee, low, n)``: each symbol's score and error, and running error and minimum of the read."""
-    q = C.scores(F.col("qual"), offset)
-    q = F.transform(q, lambda x: F.greatest(x, F.lit(0))) if floor else q
-    rows = reads.select("seqno", F.length("seq").alias("n"), F.posexplode(q).alias("pos", "q")).withColumn("pos", F.col("pos") + 1).withColumn("p", C.error(F.col("q")))
-    run = Window.partitionBy("seqno").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("ee", F.sum("p").over(run)).withColumn("low", F.min("q").over(run))
+    """``(seqno, pos, q, p, ee, low, n)``: each symbol's score and error, and running error and minimum of the read.
+
+    A read without qualities has no rows. Nothing is shuffled: what runs along a
+    read is known within its row.
+    """
+    names = ["seqno", "pos", "q", "p", "ee", "low", "n"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            numbers = batch.column("seqno")
+            for rows, q, inside in quals.matrices(batch.column("qual"), offset):
+                q = np.maximum(q, 0) if floor else q
+                p, ee, low = quals.running(q, inside)
+                at, place = np.nonzero(inside)
+                lens = inside.sum(axis=1)
+                columns = [numbers.slice(rows.start, rows.stop - rows.start).take(pa.array(at)), *(pa.array(x) for x in ((place + 1).astype(np.int32), q[inside].astype(np.int32), p[inside], ee[inside], low[inside].astype(np.int32), lens[at].astype(np.int32)))]
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    return reads.select("seqno", "qual").mapInArrow(run, "seqno long, pos int, q int, p double, ee double, low int, n int")
 
 
 def chars(reads: DataFrame) -> DataFrame:
@@ -48,18 +70,18 @@ def score_counts(reads: DataFrame) -> DataFrame:
 
 def by_position(reads: DataFrame) -> DataFrame:
     """``(pos, recs, avg_q, avg_p, avg_ee)`` of all reads that reach a position."""
-    return positions(reads).groupBy("pos").agg(F.count(F.lit(1)).alias("recs"), F.avg("q").alias("avg_q"), F.avg("p").alias("avg_p"), F.avg("ee").alias("avg_ee"))
+    sums = quals.summed(reads, 33, {"recs": lambda q, p, ee, low: 1, "q": lambda q, p, ee, low: q, "p": lambda q, p, ee, low: p, "ee": lambda q, p, ee, low: ee}, "double")
+    return sums.select("pos", F.col("recs").cast("long").alias("recs"), *[(F.col(c) / F.col("recs")).alias(f"avg_{c}") for c in ("q", "p", "ee")])
 
 
 def kept_by_error(reads: DataFrame, cutoffs: tuple[float, ...] = (1.0, 0.5, 0.25, 0.1)) -> DataFrame:
     """Reads whose expected error up to a position is within each cutoff."""
-    cols = [F.count(F.when(F.col("ee") <= c, 1)).alias(f"ee_{str(c).replace('.', '_')}") for c in cutoffs]
-    return positions(reads).groupBy("pos").agg(*cols)
+    return quals.summed(reads, 33, {f"ee_{str(c).replace('.', '_')}": lambda q, p, ee, low, c=c: ee <= c for c in cutoffs}, "long")
 
 
 def kept_by_quality(reads: DataFrame, cutoffs: tuple[int, ...] = (5, 10, 15, 20)) -> DataFrame:
     """Reads whose scores up to a position are all above each cutoff."""
-    return positions(reads).groupBy("pos").agg(*[F.count(F.when(F.col("low") > c, 1)).alias(f"q_{c}") for c in cutoffs])
+    return quals.summed(reads, 33, {f"q_{c}": lambda q, p, ee, low, c=c: low > c for c in cutoffs}, "long")
 
 
 def eestats(reads: DataFrame) -> DataFrame:
@@ -74,9 +96,8 @@ def eestats(reads: DataFrame) -> DataFrame:
 
 def eestats2(reads: DataFrame, step: int = 50, errors: tuple[float, ...] = (0.5, 1.0, 2.0)) -> DataFrame:
     """``(len, ee, n)``: reads of a length at least whose error up to it is within each cutoff."""
-    rows = positions(reads).where(F.col("pos") % step == 0).select("pos", "ee")
-    wide = rows.groupBy("pos").agg(*[F.count(F.when(F.col("ee") <= e, 1)).alias(str(i)) for i, e in enumerate(errors)])
-    pairs = F.explode(F.array(*[F.struct(F.lit(e).alias("ee"), F.col(str(i)).alias("n")) for i, e in enumerate(errors)]))
+    wide = quals.summed(reads, 33, {f"n{i}": lambda q, p, ee, low, e=e: ee <= e for i, e in enumerate(errors)}, "long").where(F.col("pos") % step == 0)
+    pairs = F.explode(F.array(*[F.struct(F.lit(e).alias("ee"), F.col(f"n{i}").alias("n")) for i, e in enumerate(errors)]))
     return wide.select(F.col("pos").alias("len"), pairs.alias("x")).select("len", "x.ee", "x.n")
 
 

@@ -35,6 +35,8 @@ class Search:
     #: Tests before an alignment, on ``q_*`` and ``t_*`` columns (seq, header, size, len), and after it.
     before: list[Column] = field(default_factory=list)
     after: list[Column] = field(default_factory=list)
+    #: Which targets ``t`` a query ``q`` may meet at all; others don't take places among its candidates.
+    within: Column | None = None
     penalties: K.Penalties = K.Penalties()
 
     @property
@@ -63,16 +65,17 @@ def candidates(queries: DataFrame, targets: DataFrame, how: Search) -> DataFrame
     none, no target is left out.
     """
     top = how.max_accepts + how.max_rejects + 8 if how.max_accepts and how.max_rejects else None
-    q_words, t_words = kmers.postings(kmers.masked(queries, how.mask), how.word), kmers.postings(kmers.masked(targets, how.mask), how.word)
-    n_words = q_words.groupBy("seqno").agg(F.count(F.lit(1)).alias("words")).withColumnRenamed("seqno", "q")
-    counts = q_words.withColumnRenamed("seqno", "q").join(t_words.withColumnRenamed("seqno", "t"), "word").groupBy("q", "t").agg(F.count(F.lit(1)).alias("shared"))
-    counts = counts.join(n_words, "q").where(F.col("shared") >= F.least(F.lit(how.least), F.col("words"))).drop("words")
+    own = kmers.masked(queries, how.mask)
+    # Where only some targets may be met, a block's best are not all that count.
+    counts = kmers.shared(own, kmers.masked(targets, how.mask), how.word, how.least, top if how.within is None else None)
+    counts = counts if how.within is None else counts.where(how.within)
     lens = targets.select(F.col("seqno").alias("t"), F.length("seq").alias("t_len"))
-    shortest = targets.select(F.col("seqno").alias("t")) if top is None else F.broadcast(targets.orderBy(F.length("seq"), "seqno").limit(top).select(F.col("seqno").alias("t")))
-    bare = queries.select(F.col("seqno").alias("q")).join(n_words, "q", "left_anti")
-    none = bare.crossJoin(shortest).select("q", "t", F.lit(0).cast("long").alias("shared"))
+    shortest = lens if top is None or how.within is not None else F.broadcast(targets.orderBy(F.length("seq"), "seqno").limit(top).select(F.col("seqno").alias("t"), F.length("seq").alias("t_len")))
+    bare = own.where(F.size(C.words(F.col("seq"), how.word)) == 0).select(F.col("seqno").alias("q"))
+    none = bare.crossJoin(shortest).select("q", "t", F.lit(0).cast("long").alias("shared"), F.col("t_len").cast("long").alias("t_len"))
+    none = none if how.within is None else none.where(how.within)
     order = Window.partitionBy("q").orderBy(F.col("shared").desc(), "t_len", "t")
-    ranked = counts.union(none).join(lens, "t").withColumn("rank", F.row_number().over(order)).drop("t_len")
+    ranked = counts.union(none).withColumn("rank", F.row_number().over(order)).drop("t_len")
     return ranked if top is None else ranked.where(F.col("rank") <= top)
 
 

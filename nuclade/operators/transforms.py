@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import columns as C
+from .shared import keep
 
 
 def revcomp(reads: DataFrame, suffix: str = "") -> DataFrame:
@@ -71,10 +72,10 @@ def relabel(reads: DataFrame, how: str = "prefix", prefix: str = "seq", suffix:
 def numbered(rows: DataFrame, order: list) -> DataFrame:
     """Rows with their place ``nth``, from 1, in a global order, by a range sort and counts of its partitions.
 
-    The sorted rows are persisted, so that the counts and the rows see the same
-    partitions whatever the optimizer prunes or coalesces in either branch.
+    The sorted rows are a table in the shared folder, so that the counts and the
+    rows see the same partitions, also after an executor is lost.
     """
-    placed = rows.orderBy(*order).withColumn("_part", F.spark_partition_id()).withColumn("_id", F.monotonically_increasing_id()).persist()
+    placed = keep(rows.orderBy(*order).withColumn("_part", F.spark_partition_id()).withColumn("_id", F.monotonically_increasing_id()))
     counts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).select("_part", "_first", "_before")

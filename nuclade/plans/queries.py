@@ -318,7 +318,7 @@ def kmers_distinct(spark, d):
 
 @query
 def shared_kmers(spark, d):
-    return kmers.shared(refs(spark, d), long_enough(reads(spark, d))).where("shared >= 12")
+    return kmers.shared(refs(spark, d), long_enough(reads(spark, d)), least=12).where("shared >= 12").drop("t_len")
 
 
 @query
