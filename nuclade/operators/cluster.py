@@ -21,6 +21,8 @@ from . import kmers
 from .search import Search, aligned, side
 from .transforms import numbered
 
+#: Fixed value: least identity of noise to its centroid.
+UNOISE_ID = 0.90
 CLUSTER = "seqno long, cluster long, is_centroid boolean, centroid long, id double, cigar string"
 
 
@@ -35,13 +37,18 @@ def unoise_test(alpha: float = 2.0) -> Column:
     return (F.col("mism") == 0) | (F.col("q_size") / F.col("t_size") <= beta)
 
 
-def cluster(reads: DataFrame, how: Search, order: str = "fast", block: int = 512, alpha: float = 2.0, by_abundance: bool = False) -> DataFrame:
-    """``(seqno, cluster, is_centroid, centroid, id, cigar)`` of each read; clusters are numbered from 0 in order."""
+def cluster(reads: DataFrame, how: Search, order: str = "fast", block: int = 512, alpha: float = 2.0, by_abundance: bool = False, min_size: int = 8) -> DataFrame:
+    """``(seqno, cluster, is_centroid, centroid, id, cigar)`` of each read; clusters are numbered from 0 in order.
+
+    In ``unoise`` order reads below ``min_size`` are left out, and a read joins a
+    centroid of ``UNOISE_ID`` identity at least whose noise it may be, whatever ``how.id``.
+    """
     spark = reads.sparkSession
     if order == "fast":
         how = replace(how, max_rejects=8) if how.max_rejects == 32 else how
     if order == "unoise":
-        how = replace(how, id=0.0, after=[*how.after, unoise_test(alpha)])
+        how = replace(how, id=UNOISE_ID, after=[*how.after, unoise_test(alpha)])
+        reads = reads.where(F.col("size") >= min_size)
     placed = numbered(kmers.masked(reads, how.mask) if how.mask != "none" else reads, order_of(order)).withColumnRenamed("nth", "place").cache()
     total = placed.count()
     words = kmers.postings(placed, how.word).join(placed.select("seqno", "place"), "seqno").select(F.col("place").alias("p"), "word").cache()

@@ -37,22 +37,23 @@ def in_order(derep: DataFrame, top: int | None = None) -> DataFrame:
     return out.limit(top) if top is not None else out
 
 
-def uniques_quality(reads: DataFrame, keep_best: bool = False, offset: int = 33) -> DataFrame:
+def uniques_quality(reads: DataFrame, keep_best: bool = False, offset: int = 33, qmin_out: int = 0, qmax_out: int = 41) -> DataFrame:
     """``(seqno, seq, qual, size)``: qualities folded read by read in seqno order.
 
-    Each fold is rounded down to a symbol, so the order matters; it is a fold of
-    the sorted list of a sequence's distinct qualities' runs. Equal neighbours
-    still fold one by one within the row, without a symbol of Python.
+    The first read's qualities stay as they are; each further read gives, by
+    position, the mean error weighted by abundance, or the smaller error with
+    ``keep_best``, cut to a whole score within ``qmin_out`` and ``qmax_out``. So
+    the order matters, and a sequence's reads are folded within one row.
     """
     each = F.struct("seqno", F.col("size").alias("n"), C.scores(F.col("qual"), offset).alias("q"))
     rows = reads.groupBy(C.normalised(F.col("seq")).alias("seq")).agg(F.min("seqno").alias("seqno"), F.sum("size").alias("size"), F.sort_array(F.collect_list(each)).alias("all"))
     to_p = lambda q: F.when(q < 2, 0.75).otherwise(F.pow(F.lit(10.0), -q / 10.0))
-    to_q = lambda p: F.floor(-10 * F.log10(p) + 1e-9).cast("int")
+    to_q = lambda p: F.greatest(F.lit(qmin_out), F.least(F.lit(qmax_out), F.floor(-10.0 * F.log10(p)).cast("int")))
     start = F.struct(F.col("all")[0].n.alias("n"), F.col("all")[0].q.alias("q"))
 
     def fold(s, x):
         if keep_best:
-            q = F.zip_with(s.q, x.q, lambda a, b: F.greatest(a, b))
+            q = F.zip_with(s.q, x.q, lambda a, b: to_q(F.least(to_p(a), to_p(b))))
         else:
             q = F.zip_with(s.q, x.q, lambda a, b: to_q((to_p(a) * s.n + to_p(b) * x.n) / (s.n + x.n)))
         return F.struct((s.n + x.n).alias("n"), q.alias("q"))

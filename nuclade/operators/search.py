@@ -44,6 +44,56 @@ class Search:
         return LEAST_WORDS[self.word] if self.least_words is None else self.least_words
 
 
+def unaligned_tests(max_q_size: float | None = None, min_t_size: float | None = None, min_size_ratio: float | None = None, max_size_ratio: float | None = None, min_qt: float | None = None, max_qt: float | None = None, min_sl: float | None = None, max_sl: float | None = None, id_prefix: int = 0, id_suffix: int = 0, self_: bool = False, self_id: bool = False) -> list[Column]:
+    """Tests before an alignment, for ``Search.before``; those not asked for are none.
+
+    Sizes of the query and the target; their ratio; lengths of the query to the
+    target's and of the shorter to the longer; equal first and last symbols; with
+    ``self_`` not the same label, with ``self_id`` not the same sequence. A target
+    of size 0 is above every ratio.
+    """
+    q, t = F.col("q_len"), F.col("t_len")
+    short, long_ = F.least(q, t), F.greatest(q, t)
+    asked = [
+        (max_q_size, lambda x: F.col("q_size") <= x),
+        (min_t_size, lambda x: F.col("t_size") >= x),
+        (min_size_ratio, lambda x: F.col("q_size") >= F.col("t_size") * x),
+        (max_size_ratio, lambda x: F.col("q_size") <= F.col("t_size") * x),
+        (min_qt, lambda x: q >= t * x),
+        (max_qt, lambda x: q <= t * x),
+        (min_sl, lambda x: short >= long_ * x),
+        (max_sl, lambda x: short <= long_ * x),
+        (id_prefix or None, lambda n: (short >= n) & (F.substring("q_seq", 1, n) == F.substring("t_seq", 1, n))),
+        (id_suffix or None, lambda n: (short >= n) & (F.right("q_seq", F.lit(n)) == F.right("t_seq", F.lit(n)))),
+        (self_ or None, lambda _: F.col("q_header") != F.col("t_header")),
+        (self_id or None, lambda _: F.col("q_seq") != F.col("t_seq")),
+    ]
+    return [test(x) for x, test in asked if x is not None]
+
+
+def aligned_tests(weak_id: float | None = None, max_subs: int | None = None, max_gaps: int | None = None, min_cols: int | None = None, left_just: bool = False, right_just: bool = False, query_cov: float | None = None, target_cov: float | None = None, max_id: float | None = None, mid: float | None = None, max_diffs: int | None = None) -> list[Column]:
+    """Tests after an alignment, for ``Search.after``; those not asked for are none.
+
+    Identities and coverages are shares, but ``mid``, the identity without gaps,
+    is in percent. Gaps, columns and differences are those inside the ends.
+    """
+    both = F.col("matches") + F.col("mism")
+    asked = [
+        (weak_id, lambda x: F.col("id") >= 100.0 * x),
+        (max_subs, lambda x: F.col("mism") <= x),
+        (max_gaps, lambda x: F.col("int_gaps") <= x),
+        (min_cols, lambda x: F.col("int_alnlen") >= x),
+        (left_just or None, lambda _: F.col("trim_q_left") + F.col("trim_t_left") == 0),
+        (right_just or None, lambda _: F.col("trim_q_right") + F.col("trim_t_right") == 0),
+        (query_cov, lambda x: both >= F.col("q_len") * x),
+        (target_cov, lambda x: both >= F.col("t_len") * x),
+        (max_id, lambda x: F.col("id") <= 100.0 * x),
+        (mid, lambda x: 100.0 * F.col("matches") >= both * x),
+        (max_diffs, lambda x: F.col("mism") + F.col("int_indels") <= x),
+    ]
+    return [test(x) for x, test in asked if x is not None]
+
+
 def side(reads: DataFrame, p: str) -> DataFrame:
     return reads.select(F.col("seqno").alias(p), F.col("header").alias(f"{p}_header"), C.normalised(F.col("seq")).alias(f"{p}_seq"), F.col("size").alias(f"{p}_size"), F.length("seq").alias(f"{p}_len"))
 

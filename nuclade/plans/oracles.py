@@ -72,7 +72,26 @@ ends AS (SELECT DISTINCT seqno, seq, strand, 0 AS cut FROM cuts UNION ALL SELECT
 spans AS (SELECT seqno, seq, strand, cut, lead(cut) OVER w AS stop, row_number() OVER w - 1 AS part FROM ends WINDOW w AS (PARTITION BY seqno, strand ORDER BY cut))"""
 
 P = "percentile_disc({f}) WITHIN GROUP (ORDER BY {c})"
+TO_P = "CASE WHEN {0} < 2 THEN 0.75 ELSE pow(10.0, -{0} / 10.0) END"
+TO_Q = "greatest(0, least(41, CAST(floor(-10.0 * log10({0})) AS INTEGER)))"
+
+
+def folded(new: str) -> str:
+    """Qualities of equal sequences folded in seqno order; ``new`` is an error probability of ``z``, a pair of scores."""
+    return f"""each_ AS (SELECT seq, seqno, size, list_transform(string_split(qual, ''), lambda c: ascii(c) - 33) AS q FROM reads),
+lists AS (SELECT seq, min(seqno) AS seqno, CAST(sum(size) AS BIGINT) AS size, list(struct_pack(n := size, q := q) ORDER BY seqno) AS every FROM each_ GROUP BY seq),
+folds AS (SELECT seqno, seq, size, list_reduce(every, lambda s, x: struct_pack(n := s.n + x.n, q := list_transform(list_zip(s.q, x.q), lambda z: {TO_Q.format(new)}))).q AS q FROM lists)
+SELECT seqno, seq, size, array_to_string(list_transform(q, lambda v: chr(v + 33)), '') AS qual FROM folds"""
+
+
 ORACLES = {
+    "derep_prefix": with_(READS, "u AS (SELECT min(seqno) AS seqno, arg_min(header, seqno) AS header, seq, CAST(sum(size) AS BIGINT) AS size, count(*) AS members FROM reads GROUP BY seq)", "up AS (SELECT a.seqno, arg_min(b.seqno, struct_pack(l := length(b.seq), s := -b.size, h := b.header, n := b.seqno)) AS parent FROM u a JOIN u b ON b.seq > a.seq AND b.seq < a.seq || '~' GROUP BY a.seqno)").replace("WITH ", "WITH RECURSIVE ", 1) + ", walk AS (SELECT seqno, seqno AS root FROM u UNION ALL SELECT w.seqno, p.parent FROM walk w JOIN up p ON p.seqno = w.root) SELECT w.root AS seqno, CAST(sum(u.size) AS BIGINT) AS size, CAST(sum(u.members) AS BIGINT) AS members FROM walk w JOIN u USING (seqno) WHERE w.root NOT IN (SELECT seqno FROM up) GROUP BY w.root",
+    "fastx_uniques": with_(READS) .rstrip() + ",\n" + folded(f"(({TO_P.format('z[1]')}) * s.n + ({TO_P.format('z[2]')}) * x.n) / (s.n + x.n)"),
+    "fastx_uniques_best": with_(READS).rstrip() + ",\n" + folded(f"least({TO_P.format('z[1]')}, {TO_P.format('z[2]')})"),
+    "shuffle": with_(READS) + "SELECT seqno FROM reads",
+    "fastx_subsample_total": with_(READS) + "SELECT CAST(floor(sum(size) * 10.0 / 100) AS BIGINT) AS drawn, CAST(0 AS BIGINT) AS above, count(*) AS reads FROM reads",
+    "maskfasta_soft": with_(READS, SOFT) + "SELECT seqno, regexp_replace(seq, '[a-z]', 'N', 'g') AS seq FROM soft",
+    "search_exact_tests": with_(READS, REFS) + "SELECT q.seqno AS q, t.seqno AS t FROM refs q JOIN reads t ON q.seq = t.seq WHERE q.size <= 5 AND t.size >= 2 AND q.size >= 0.5 * t.size AND q.size <= 2.0 * t.size AND length(q.seq) >= 8 AND q.header <> t.header",
     "derep_fulllength": with_(READS, U) + "SELECT u.seqno, r.header, u.seq, u.size, u.members FROM uniq u JOIN reads r USING (seqno)",
     "derep_fulllength_both": with_(READS, f"k AS (SELECT *, least(seq, {rc('seq')}) AS key FROM reads WHERE length(seq) >= 32)") + "SELECT min(seqno) AS seqno, arg_min(header, seqno) AS header, arg_min(seq, seqno) AS seq, CAST(sum(size) AS BIGINT) AS size, count(*) AS members FROM k GROUP BY key",
     "derep_fulllength_minsize": with_(READS) + "SELECT min(seqno) AS seqno, count(*) AS size FROM reads WHERE length(seq) >= 32 GROUP BY seq HAVING count(*) >= 2",

@@ -114,6 +114,12 @@ def fastx_subsample(spark, d):
     return order.subsample(reads(spark, d), percent=10.0).select("seqno", "size", "drawn")
 
 
+@query
+def fastx_subsample_total(spark, d):
+    drawn = order.subsample(reads(spark, d), percent=10.0)
+    return drawn.agg(F.sum("drawn").alias("drawn"), F.count(F.when(F.col("drawn") > F.col("size"), 1)).alias("above"), F.count(F.lit(1)).alias("reads"))
+
+
 @query
 def rereplicate(spark, d):
     return transforms.rereplicate(reads(spark, d)).groupBy("seqno", "header", "size").agg(F.count(F.lit(1)).alias("copies"))
@@ -147,6 +153,20 @@ def maskfasta_dust(spark, d):
     return kmers.masked(reads(spark, d)).select("seqno", "seq")
 
 
+@query
+def maskfasta_soft(spark, d):
+    return kmers.masked(soft(reads(spark, d)), "soft", hard=True).select("seqno", "seq")
+
+
+@query
+def search_exact_tests(spark, d):
+    """Hits of equal sequences that also pass tests of sizes and labels."""
+    own = search.exact(refs(spark, d), reads(spark, d)).join(search.side(refs(spark, d), "q"), "q").join(search.side(reads(spark, d), "t"), "t")
+    for test in search.unaligned_tests(max_q_size=5, min_t_size=2, min_size_ratio=0.5, max_size_ratio=2.0, min_qt=0.9, max_sl=1.0, id_prefix=8, id_suffix=8, self_=True):
+        own = own.where(test)
+    return own.select("q", "t")
+
+
 def soft(rows: DataFrame) -> DataFrame:
     """Reads whose runs of four or more equal symbols are in lower case."""
     runs = F.regexp_extract_all("seq", F.lit(r"((.)\2*)"), 1)
@@ -433,7 +453,8 @@ def cluster_smallmem(spark, d):
 
 @query
 def cluster_unoise(spark, d):
-    return _clusters(spark, d, "unoise")
+    own = refs(spark, d).withColumn("size", F.col("size") * 8)
+    return cluster.cluster(own, search.Search(), "unoise")
 
 
 @query
