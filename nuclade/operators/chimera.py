@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
-from .search import Search, globally, side
+from .search import Search, globally, side, unaligned_tests
 from .shared import drop, keep
 from .transforms import numbered
 
@@ -191,11 +191,15 @@ def _parts(reads: DataFrame, how: Chimera) -> DataFrame:
 
 
 def detect(queries: DataFrame, targets: DataFrame, how: Chimera | None = None, before: list | None = None, within: Column | None = None) -> DataFrame:
-    """A row of ``COLUMNS`` for each query, with parents among ``targets``."""
+    """A row of ``COLUMNS`` for each query, with parents among ``targets``.
+
+    Seqnos are unique among queries and among targets; the two may have the same.
+    A query without candidates, or with a null or empty sequence, gets N.
+    """
     how = how or Chimera()
     search = Search(id=0.55, max_accepts=4, max_rejects=16, mask="dust", before=before or [], within=within)
     hits = globally(_parts(queries, how), targets, search)
-    pairs = hits.select(F.floor(F.col("q") / 128).cast("long").alias("q"), "t").distinct().where("q <> t")
+    pairs = hits.select(F.floor(F.col("q") / 128).cast("long").alias("q"), "t").distinct()
     whole = pairs.join(side(queries, "q"), "q").join(side(targets, "t"), "t")
     rule = judge_long if how.rule == "long" else judge
 
@@ -209,7 +213,7 @@ def detect(queries: DataFrame, targets: DataFrame, how: Chimera | None = None, b
     # A query has 4 accepted candidates a part at most, so its group is bounded.
     judged = whole.groupBy("q").applyInPandas(run, SCHEMA)
     rest = queries.select(F.col("seqno").alias("q"), F.col("header").alias("h"))
-    return rest.join(judged, "q", "left").withColumn("query", F.col("h")).drop("h").withColumn("score", F.coalesce("score", F.lit(0.0))).withColumn("flag", F.coalesce("flag", F.lit("N")))
+    return rest.join(judged, "q", "left").withColumn("query", F.col("h")).drop("h").withColumn("score", F.coalesce("score", F.lit(0.0))).withColumn("flag", F.coalesce("flag", F.lit("N"))).fillna(0, ["left_y", "left_n", "left_a", "right_y", "right_n", "right_a"])
 
 
 def denovo(reads: DataFrame, how: Chimera | None = None) -> DataFrame:
@@ -228,7 +232,7 @@ def denovo(reads: DataFrame, how: Chimera | None = None) -> DataFrame:
     known = None
     while True:
         targets = rows if known is None else rows.join(known.where("flag = 'Y'").select(F.col("q").alias("seqno")), "seqno", "left_anti")
-        judged = keep(detect(rows, targets, how, [F.col("t_size") >= how.abskew * F.col("q_size")], earlier))
+        judged = keep(detect(rows, targets, how, [F.col("t_size") >= how.abskew * F.col("q_size"), *unaligned_tests(self_=True, self_id=True)], earlier))
         same = known is not None and known.where("flag = 'Y'").select("q").exceptAll(judged.where("flag = 'Y'").select("q")).isEmpty() and judged.where("flag = 'Y'").select("q").exceptAll(known.where("flag = 'Y'").select("q")).isEmpty()
         if same or (known is None and judged.where("flag = 'Y'").isEmpty()):
             return judged.join(placed.select(F.col("seqno").alias("q"), "own"), "q").withColumn("q", F.col("own")).drop("own")
