@@ -9,7 +9,7 @@ _CODE = np.full(256, 4, dtype=np.int64)
 for _i, _s in enumerate(("A", "C", "G", "TU")):
     _CODE[[ord(x) for x in _s]] = _i
 #: Targets that are counted at once.
-CHUNK = 400
+CHUNK = 200
 
 
 def distinct(seqs: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -24,7 +24,8 @@ def distinct(seqs: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
     for j in range(k):
         word = word << 2 | code[j : j + n] & 3
         good &= code[j : j + n] < 4
-    both = np.unique(owner[:n][good] << 2 * k | word[good])
+    both = np.sort(owner[:n][good] << 2 * k | word[good])
+    both = both[np.append(True, both[1:] != both[:-1])] if len(both) else both
     return both >> 2 * k, both & (1 << 2 * k) - 1
 
 
@@ -37,11 +38,12 @@ def shared(queries: pd.DataFrame, targets: pd.DataFrame, k: int, least: int, top
     none = pd.DataFrame({"q": [], "t": [], "shared": [], "t_len": []}, dtype="int64")
     qi, qw = distinct(queries["seq"].tolist(), k)
     ti, tw = distinct(targets["seq"].tolist(), k)
-    known, column = np.unique(qw, return_inverse=True)
+    known = np.sort(qw)
+    known = known[np.append(True, known[1:] != known[:-1])] if len(known) else known
     if not len(known) or not len(tw):
         return none
     has = np.zeros((len(known), len(queries)), dtype=np.uint8)
-    has[column, qi] = 1
+    has[np.searchsorted(known, qw), qi] = 1
     need = np.minimum(least, np.bincount(qi, minlength=len(queries)))
     need[need == 0] = 1 << 30
     row = np.minimum(np.searchsorted(known, tw), len(known) - 1)

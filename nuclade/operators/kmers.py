@@ -12,7 +12,13 @@ from ..functions import words
 from ..functions.kernels import dust
 
 #: Rows of a block of queries and of targets.
-QUERIES, TARGETS = 256, 8192
+QUERIES, TARGETS = 1024, 8192
+
+
+def tasks(rows: DataFrame) -> int:
+    """Partitions for work that takes long for its bytes, and so isn't to be dealt by these."""
+    spark = rows.sparkSession
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 @F.pandas_udf(StringType())
@@ -22,6 +28,8 @@ def dust_masked(seq: pd.Series) -> pd.Series:
 
 def masked(reads: DataFrame, how: str = "dust", hard: bool = False) -> DataFrame:
     """Low complexity in lower case (``dust``), as it is (``soft``), or nothing masked (``none``); ``hard`` makes it N."""
+    if how == "dust":
+        reads = reads.repartition(tasks(reads), "seqno")
     seq = {"dust": dust_masked("seq"), "soft": F.col("seq"), "none": F.upper("seq")}[how]
     return reads.withColumn("seq", F.regexp_replace(seq, "[a-z]", "N") if hard else seq)
 
@@ -51,6 +59,7 @@ def shared(queries: DataFrame, targets: DataFrame, k: int = 8, least: int = 1, t
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         return words.shared(a, b, k, least, top)
 
+    left, right = (x.repartition(tasks(queries), "i", "j") for x in (left, right))
     return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(run, "q long, t long, shared long, t_len long")
 
 

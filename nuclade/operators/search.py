@@ -140,7 +140,7 @@ def aligned(pairs: DataFrame, how: Search) -> DataFrame:
                 yield batch.join(pd.DataFrame(K.align(batch["q_seq"].tolist(), batch["t_seq"].tolist(), penalties), index=batch.index)[names])
 
     own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema)
-    return pairs.mapInPandas(run, f"{own}, {ALIGNED}")
+    return pairs.repartition(kmers.tasks(pairs), "q", "t").mapInPandas(run, f"{own}, {ALIGNED}")
 
 
 def verdicts(pairs: DataFrame, how: Search) -> DataFrame:
