@@ -1,26 +1,34 @@
-"""Approximate nearest neighbours: NN-descent and greedy graph search.
-
-The graph starts from random-projection leaves and improves by joining each
-vector's neighbours with one another (neighbours of neighbours). A query walks
-the graph greedily from entry points, expanding the nearest unvisited vectors of
-its list until none is left.
-
-Scale: copies of a vector are one node with a list of its ids, so a hot vector
-is one row. A local join takes a bounded list of each node's neighbours, forward
-and backward; the join of lists with vectors is an equality join by id. Blocks
-of nodes are dealt by hash, as are leaves, which are split until they are small.
-All queries move together, a join a step; a query's list has a fixed length.
+"""Approximate nearest neighbours: NN-descent, greedy graph search and lists of rows.
+
+The graph is fitted on landmarks, a bounded sample of the different vectors: it
+starts from random-projection leaves and improves by joining each vector's
+neighbours with one another (neighbours of neighbours). Every row hangs on its
+nearest landmark. A query walks the graph greedily from entry points, expanding
+the nearest unvisited landmarks of its list until none is left, and is then
+compared with all rows that hang on the landmarks of its list. Up to
+``Graph.landmarks`` different vectors, all are landmarks.
+
+Scale: copies of a vector are one node with its smallest id, so a hot vector is
+one row. Landmarks and graph are of bounded size and go along with the
+functions. Lists are dealt to blocks of like numbers of rows, a long list to
+several; a block meets all queries, in parts of bounded size, so a task's size is
+bounded too. Rows are compared by products of matrices in single precision, with
+a bound on their error; what may be among the nearest is measured in double
+precision on the original vectors.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .common import drop, keep
@@ -37,9 +45,15 @@ class Graph:
     #: Random-projection trees that give the first neighbours; rows of a leaf, about.
     trees: int = 8
     leaf: int = 400
-    #: Length of a query's list, of which so many are expanded in a step; a search ends when all were.
-    beam: int = 240
-    expand: int = 80
+    #: Different vectors that the graph is fitted on, at most.
+    landmarks: int = 8192
+    #: Length of a query's list, of which so many are expanded in a step; a search ends when all were. Common entry points.
+    beam: int = 2500
+    expand: int = 600
+    entries: int = 120
+    #: Rows of a block, and queries that it meets at once, at most.
+    block: int = 300_000
+    part: int = 200_000
     seed: int = 13
 
 
@@ -56,9 +70,12 @@ def _matrix(rows, width: int, kind=np.float32) -> np.ndarray:
     return out
 
 
-def _packed(rows: list, width: int, centre: np.ndarray) -> list[bytes]:
-    """Each vector's float32 components about the centre, padded; rounding them further would make the members of a tight group equal."""
-    return [x.tobytes() for x in (_matrix(rows, width, np.float64) - centre).astype(np.float32)]
+def _vectors(column: pa.Array, width: int, kind: type) -> np.ndarray:
+    """A row for each list of ``column``, padded with zeros."""
+    flat, sizes = column.flatten().to_numpy(zero_copy_only=False).astype(kind, copy=False), column.value_lengths().to_numpy(zero_copy_only=False)
+    if (sizes == width).all():
+        return flat.reshape(len(sizes), width)
+    return _matrix(np.split(flat, np.cumsum(sizes)[:-1]), width, kind)
 
 
 def _unpacked(packed: list[bytes]) -> np.ndarray:
@@ -84,40 +101,143 @@ def _nearest(x: np.ndarray, ids: np.ndarray, n: int) -> tuple[np.ndarray, np.nda
 EDGE = "u long, v long, d float"
 
 
+def _nearest_of(x: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """The number of the nearest of ``marks`` for each row."""
+    out, half = np.zeros(len(x), dtype=np.int32), (marks * marks).sum(axis=1) / 2
+    for a in range(0, len(x), 512):
+        out[a : a + 512] = (x[a : a + 512] @ marks.T - half).argmax(axis=1)
+    return out
+
+
+def _walk(x: np.ndarray, marks: np.ndarray, links: np.ndarray, how: Graph) -> np.ndarray:
+    """Squared distances of each row to the landmarks that its greedy walk keeps; infinite for the others."""
+    m, rows = len(marks), np.arange(len(x))[:, None]
+    far, done = np.full((len(x), m), np.inf, dtype=np.float32), np.zeros((len(x), m), dtype=bool)
+    beam, expand = min(how.beam, m), min(how.expand, how.beam, m)
+    new = np.zeros((len(x), m), dtype=bool)
+    new[:, : how.entries] = True
+    new[rows[:, 0], _nearest_of(x, marks)] = True
+    while True:
+        i, j = np.nonzero(new)
+        for a in range(0, len(i), 1 << 15):
+            apart = x[i[a : a + (1 << 15)]] - marks[j[a : a + (1 << 15)]]
+            far[i[a : a + (1 << 15)], j[a : a + (1 << 15)]] = np.einsum("ij,ij->i", apart, apart)
+        kept = np.partition(far, beam - 1, axis=1)[:, beam - 1 : beam]
+        waiting = np.where(done | (far > kept), np.inf, far)
+        pick = np.argpartition(waiting, expand - 1, axis=1)[:, :expand]
+        i, k = np.nonzero(np.isfinite(np.take_along_axis(waiting, pick, axis=1)))
+        if not len(i):
+            return np.where(far > kept, np.inf, far)
+        at = pick[i, k]
+        done[i, at] = True
+        new[:] = False
+        new[i[:, None], links[at]] = True
+        new &= np.isinf(far)
+
+
+def _best(found: list[tuple[np.ndarray, ...]], n: int) -> tuple[np.ndarray, ...]:
+    """The n first of each query in ``(query, row, distance, id)``, nearest first, ties to smaller ids; in order."""
+    q, row, d, ids = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.lexsort((ids, d, q))
+    q, row, d, ids = q[order], row[order], d[order], ids[order]
+    start = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.zeros(0, dtype=int)
+    nth = np.arange(len(q)) - np.repeat(start, np.diff(np.r_[start, len(q)]))
+    return q[nth < n], row[nth < n], d[nth < n], ids[nth < n]
+
+
+def _scan(x: np.ndarray, ids: np.ndarray, lists: np.ndarray, q: np.ndarray, wanted: np.ndarray, most: np.ndarray, marks: dict[int, np.ndarray], n: int) -> tuple[np.ndarray, ...]:
+    """The n nearest rows of each query among the lists that it wants, as :func:`_best` gives them.
+
+    ``wanted[i, l]`` says whether query i wants the l-th of ``marks``; ``most``
+    bounds the n-th smallest squared distance from above. Distances are squared,
+    in double precision; what single precision rules out by its error isn't measured.
+    """
+    order = np.argsort(lists, kind="stable")
+    x, ids = x[order], ids[order]
+    most, held, size = most.copy(), [tuple(np.zeros(0, dtype=k) for k in (np.int64, np.int64, np.float64, np.int64))], 0
+    for nth, (a, b, mark) in enumerate(zip(np.searchsorted(lists[order], list(marks)), np.searchsorted(lists[order], list(marks), "right"), marks.values(), strict=True)):
+        asked = np.flatnonzero(wanted[:, nth])
+        if a == b or not len(asked):
+            continue
+        # About the landmark, so that errors are in proportion to the list's own extent.
+        side = (x[a:b] - mark).astype(np.float32)
+        square = (side * side).sum(axis=1)
+        side = np.concatenate([2 * side, -square[:, None]], axis=1).T
+        each = max(16, (1 << 21) // int(b - a))
+        for c in range(0, len(asked), each):
+            who = asked[c : c + each]
+            mine = (q[who] - mark).astype(np.float32)
+            own = (mine * mine).sum(axis=1)
+            least = own - most[who] - 1e-5 * (own + square.max())
+            at = np.flatnonzero(np.concatenate([mine, np.ones((len(who), 1), dtype=np.float32)], axis=1) @ side >= least.astype(np.float32)[:, None])
+            i, j = who[at // (b - a)], a + at % (b - a)
+            for e in range(0, len(i), 1 << 16):
+                apart = q[i[e : e + (1 << 16)]].astype(np.float64) - x[j[e : e + (1 << 16)]]
+                held.append((i[e : e + (1 << 16)], j[e : e + (1 << 16)], np.einsum("ij,ij->i", apart, apart), ids[j[e : e + (1 << 16)]]))
+            size += len(i)
+            if size > 500_000 + 4 * n * len(q):
+                held = [best := _best(held, n)]
+                count = np.bincount(best[0], minlength=len(q))
+                full = np.flatnonzero(count >= n)
+                most[full] = np.minimum(most[full], best[2][np.cumsum(count)[full] - 1])
+                size = len(best[0])
+    i, j, d, own = _best(held, n)
+    return i, order[j], d, own
+
+
 class Index:
-    """Nodes and neighbour graph of ``vectors(vec_id, <vector>)``."""
+    """Rows, landmarks and their neighbour graph of ``vectors(vec_id, <vector>)``."""
 
     def __init__(self, vectors: DataFrame, how: Graph | None = None, vector: str = "embedding") -> None:
-        self.how = how or Graph()
-        raw = vectors.select(F.col("vec_id"), F.col(vector).cast("array<double>").alias("vector")).where(usable(F.col("vector")) & F.col("vec_id").isNotNull())
-        same = F.md5(F.array_join(F.transform("vector", lambda x: x.cast("string")), ",").cast("binary"))
-        self.rows = keep(raw.withColumn("same", same))
-        self.nodes = keep(self.rows.groupBy("same").agg(F.min("vec_id").alias("id"), F.min("vector").alias("vector")))
-        n, width = self.nodes.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
+        self.how = how = how or Graph()
+        spark = vectors.sparkSession
+        single = isinstance(vectors.schema[vector].dataType.elementType, T.FloatType)
+        self.kind, self.type = (np.float32, "array<float>") if single else (np.float64, "array<double>")
+
+        def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                column = batch.column("vector")
+                # Zeros of either sign are one.
+                flat, ends = column.flatten().to_numpy(zero_copy_only=False) + 0, np.cumsum([0, *column.value_lengths().to_pylist()]).tolist()
+                same = [hashlib.blake2b(flat[a:b].tobytes(), digest_size=16).digest() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("vec_id"), column, pa.array(same, pa.binary())], ["vec_id", "vector", "same"])
+
+        raw = vectors.select(F.col("vec_id").cast("long"), F.col(vector).cast(self.type).alias("vector")).where(usable(F.col("vector")) & F.col("vec_id").isNotNull())
+        self.raw = raw.mapInArrow(named, f"vec_id long, vector {self.type}, same binary")
+        nodes = keep(self.raw.groupBy("same").agg(F.min("vec_id").alias("id"), F.max("vec_id").alias("last"), F.min("vector").alias("vector")))
+        n, width = nodes.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
         self.n, self.width = n, width or 0
-        #: A vec_id with several vectors would be several nodes of one name: nodes are named by their content.
-        width = self.width
+        # A sample by content: the first of a hash order, of which a cut leaves few more.
+        cut = int(min(1.0, (1.1 * how.landmarks + 100) / max(1, n)) * (1 << 31))
+        some = nodes.where(F.pmod(F.xxhash64("same"), F.lit(1 << 31)) < cut).orderBy(F.xxhash64("same"), "same").limit(how.landmarks).select("vector").toArrow()
+        self.marks = marks = _vectors(some.column("vector").combine_chunks(), self.width, self.kind)
         # Distances don't depend on the origin, but what float32 keeps of them does.
-        some = self.nodes.select("vector").orderBy(F.xxhash64("same")).limit(2000).collect()
-        centre = _matrix([r.vector for r in some], width, np.float64).mean(axis=0) if some else np.zeros(width)
-
-        @F.pandas_udf("binary")
-        def packed(vectors: pd.Series) -> pd.Series:
-            return pd.Series(_packed(vectors.tolist(), width, centre), dtype=object)
+        self.centre = centre = marks.mean(axis=0, dtype=np.float64) if len(marks) else np.zeros(self.width)
+        self.near = near = (marks - centre).astype(np.float32)
+        self.nodes = keep(spark.createDataFrame([(i, x.tobytes()) for i, x in enumerate(near)], "node long, packed binary"))
+        #: Landmarks' links, their own numbers where there are fewer.
+        self.links = np.repeat(np.arange(len(marks))[:, None], how.degree, axis=1)
+        if len(marks) > 1:
+            for r in self._build().groupBy("u").agg(F.collect_list("v").alias("v")).collect():
+                self.links[r.u, : len(r.v)] = r.v
+        width, kind, names = self.width, self.kind, ["id", "more", "key", "vector", "list"]
+
+        def hang(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                own = _nearest_of((_vectors(batch.column("vector"), width, kind) - centre).astype(np.float32), near)
+                yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in names[:-1]), pa.array(own, pa.int32())], names)
 
-        self.packed = packed
-        self.nodes = keep(self.nodes.select("same", "id", "vector", F.xxhash64("same", "id").alias("node"), packed("vector").alias("packed")))
-        self.graph = self._build() if n > 1 else None
-        if self.graph is not None:
-            self.links = keep(self.graph.groupBy(F.col("u").alias("node")).agg(F.collect_list("v").alias("links")))
+        rows = nodes.select("id", (F.col("last") > F.col("id")).alias("more"), F.xxhash64("same").alias("key"), "vector")
+        self.rows = keep(rows.mapInArrow(hang, f"id long, more boolean, key long, vector {self.type}, list int"))
+        drop(nodes)
 
     def _blocks(self, rows_each: int) -> int:
-        return max(1, -(-self.n // rows_each))
+        return max(1, -(-len(self.marks) // rows_each))
 
     def planes(self) -> list[np.ndarray]:
         """Normals of the cuts of each tree, by level."""
         rng = np.random.default_rng(self.how.seed)
-        depth = max(0, int(np.ceil(np.log2(max(1, self.n / self.how.leaf)))))
+        depth = max(0, int(np.ceil(np.log2(max(1, len(self.marks) / self.how.leaf)))))
         return [rng.standard_normal((depth, self.width)).astype(np.float32) for _ in range(self.how.trees)]
 
     def _leaves(self) -> DataFrame:
@@ -209,51 +329,90 @@ class Index:
         fewer. With ``exclude_own`` a query isn't its own neighbour. Queries that
         aren't usable get no rows; repeated ones are answered once.
         """
-        how = self.how
-        queries = keep(queries.select("query_id", F.col("vector").cast("array<double>").alias("q")).where(usable(F.col("q")) & F.col("query_id").isNotNull()).dropDuplicates(["query_id"]))
-        nodes = self.nodes.select("node", "vector", "id", "same")
-        exact = F.sqrt(F.aggregate(F.zip_with("q", "vector", lambda a, b: F.pow(F.coalesce(a, F.lit(0.0)) - F.coalesce(b, F.lit(0.0)), 2)), F.lit(0.0), lambda a, b: a + b))
-
-        @F.pandas_udf("double")
-        def far(a: pd.Series, b: pd.Series) -> pd.Series:
-            if not len(a):
-                return pd.Series([], dtype=float)
-            return pd.Series(np.sqrt(((_unpacked(a.tolist()).astype(np.float64) - _unpacked(b.tolist())) ** 2).sum(axis=1)))
-
-        # Entry points: the node of an equal vector, and nodes spread over the graph by hash.
-        same = F.md5(F.array_join(F.transform("q", lambda x: x.cast("string")), ",").cast("binary"))
-        own = queries.select("query_id", same.alias("same")).join(nodes.select("same", "node"), "same").select("query_id", "node")
-        spread = [r.node for r in self.nodes.select("node").orderBy("node").limit(how.beam // 2).collect()]
-        start = own.union(queries.select("query_id", F.explode(F.lit(spread).cast("array<long>")).alias("node"))).distinct()
-        # A query's list is one row, in order; a step's joins are by node, for its new entries only.
-        marks = keep(queries.select("query_id", self.packed("q").alias("a")))
-        found = F.array_sort(F.collect_list(F.struct("d", "node", F.lit(False).alias("seen"))))
-        pairs = lambda entries: entries.join(marks, "query_id").join(self.nodes.select("node", F.col("packed").alias("b")), "node")
-        measured = lambda entries: pairs(entries).select("query_id", "node", far("a", "b").alias("d")).groupBy("query_id").agg(found.alias("found"))
-        beams = keep(measured(start).select("query_id", F.slice("found", 1, how.beam).alias("beam")))
-        unseen = F.filter("beam", lambda x: ~x["seen"])
-        while self.graph is not None and not beams.where(F.size(unseen) > 0).isEmpty():
-            marked = F.transform(F.slice(unseen, 1, how.expand), lambda x: F.struct(x["d"].alias("d"), x["node"].alias("node"), F.lit(True).alias("seen")))
-            rest = F.slice(unseen, how.expand + 1, how.beam)
-            after = F.array_sort(F.concat(F.filter("beam", lambda x: x["seen"]), marked, rest))
-            now = beams.select("query_id", F.explode(F.slice(unseen, 1, how.expand)).alias("x")).select("query_id", F.col("x.node").alias("node"))
-            links = now.join(self.links, "node").groupBy("query_id").agg(F.array_distinct(F.flatten(F.collect_list("links"))).alias("links"))
-            new = links.join(beams, "query_id").select("query_id", F.explode(F.array_except("links", F.transform("beam", lambda x: x["node"]))).alias("node"))
-            merged = F.slice(F.array_sort(F.concat("beam", F.coalesce("found", F.array().cast("array<struct<d:double,node:bigint,seen:boolean>>")))), 1, how.beam)
-            turn = keep(beams.select("query_id", after.alias("beam")).join(measured(new), "query_id", "left").select("query_id", merged.alias("beam")))
-            drop(beams)
-            beams = turn
-        # The walk measures packed vectors; what it found is measured again on the original ones.
-        beam = beams.select("query_id", F.explode("beam").alias("x")).select("query_id", "x.node")
-        beam = beam.join(queries, "query_id").join(nodes.select("node", "vector"), "node").select("query_id", "node", exact.alias("d"))
+        how, spark, width, kind, marks, near, links, centre = self.how, self.rows.sparkSession, self.width, self.kind, self.marks, self.near, self.links, self.centre
+        queries = queries.select(F.col("query_id").cast("long"), F.col("vector").cast(self.type).alias("vector"))
+        queries = keep(queries.where(usable(F.col("vector")) & F.col("query_id").isNotNull()).dropDuplicates(["query_id"]))
+        asked, n = queries.count(), k + 6
+        out = "query_id long, rank int, vec_id long, score double"
+        if not asked or not self.n:
+            return spark.createDataFrame([], out)
+        # Blocks of lists, filled in order; a longer list has blocks of its own and its rows are dealt by hash.
+        each = min(how.block, max(2000, self.n // 24))
+        sizes = dict(self.rows.groupBy("list").count().collect())
+        begin, parts, lists, fill = np.zeros(len(marks), dtype=np.int64), np.ones(len(marks), dtype=np.int64), [], each
+        for at, size in sorted(sizes.items()):
+            parts[at] = -(-size // each)
+            if parts[at] > 1 or fill + size > each:
+                lists += [[] for _ in range(parts[at])]
+                fill = 0
+            begin[at] = len(lists) - parts[at]
+            for own in lists[begin[at] :]:
+                own.append(at)
+            fill = fill + size if parts[at] == 1 else each
+        lists = [np.array(x) for x in lists]
+        turns = -(-asked // how.part)
+
+        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                own, key = batch.column("list").to_numpy(), batch.column("key").to_numpy()
+                x, ids, more = _vectors(batch.column("vector"), width, kind), batch.column("id").to_numpy(), batch.column("more").to_numpy(zero_copy_only=False)
+                block = begin[own] + (key >> 7) % parts[own]
+                for b in np.unique(block).tolist():
+                    at = np.flatnonzero(block == b)
+                    held = [v[at].tobytes() for v in (x, ids, key, more, own)]
+                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), *(pa.array([v], pa.binary()) for v in held)], ["block", "x", "ids", "key", "more", "list"])
+
+        def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                x, ids = _vectors(batch.column("vector"), width, kind), batch.column("query_id").to_numpy()
+                wanted, most = np.zeros((len(x), len(marks)), dtype=bool), np.full(len(x), np.inf)
+                for a in range(0, len(x), 256):
+                    far = _walk((x[a : a + 256] - centre).astype(np.float32), near, links, how)
+                    wanted[a : a + 256] = np.isfinite(far)
+                    if len(marks) >= n:
+                        # The landmarks are rows too: the n-th nearest row is no farther than the n-th of them.
+                        at = np.argpartition(far, n - 1, axis=1)[:, :n]
+                        apart = marks[at].astype(np.float64) - x[a : a + 256, None]
+                        most[a : a + 256] = np.where(np.isfinite(np.take_along_axis(far, at, axis=1)).all(axis=1), (apart * apart).sum(axis=2).max(axis=1), np.inf)
+                for b, own in enumerate(lists):
+                    bits = np.packbits(wanted[:, own], axis=1)
+                    some = np.flatnonzero(bits.any(axis=1))
+                    held = [v[some].tobytes() for v in (x, ids, bits, most)]
+                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([batch.column("turn")[0].as_py()], pa.int32()), *(pa.array([v], pa.binary()) for v in held)], ["block", "turn", "x", "ids", "bits", "most"])
+
+        def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            joined = lambda column, k: np.frombuffer(b"".join(column.tolist()), dtype=k)
+            x, ids, key, more, own = (joined(left[c], t) for c, t in (("x", kind), ("ids", np.int64), ("key", np.int64), ("more", bool), ("list", np.int32)))
+            q, who, bits, most = (joined(right[c], t) for c, t in (("x", kind), ("ids", np.int64), ("bits", np.uint8), ("most", np.float64)))
+            here = lists[int(left["block"].iloc[0])] if len(left) else np.zeros(0, dtype=int)
+            if not len(who) or not len(ids):
+                return pd.DataFrame({c: np.zeros(0, dtype=t) for c, t in (("query_id", np.int64), ("id", np.int64), ("key", np.int64), ("more", bool), ("d", np.float64))})
+            wanted = np.unpackbits(bits.reshape(len(who), -1), axis=1, count=len(here)).view(bool)
+            i, j, d, _ = _scan(x.reshape(-1, width), ids, own, q.reshape(-1, width), wanted, most, {at: marks[at] for at in here.tolist()}, n)
+            return pd.DataFrame({"query_id": who[i], "id": ids[j], "key": key[j], "more": more[j], "d": np.sqrt(d)})
+
+        dealt = self.rows.mapInArrow(deal, "block int, x binary, ids binary, key binary, more binary, list binary")
+        dealt = dealt.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(turns - 1))))
+        # A batch of queries is of one turn: each partition is.
+        bins = max(turns, -(-asked // 1000))
+        queries = queries.withColumn("bin", F.pmod(F.xxhash64("query_id"), F.lit(bins)).cast("int"))
+        queries = queries.withColumn("turn", F.pmod("bin", F.lit(turns)).cast("int"))
+        sent = queries.groupBy("bin").applyInArrow(lambda t: pa.Table.from_batches(list(walk(t.combine_chunks().to_batches()))), "block int, turn int, x binary, ids binary, bits binary, most binary")
+        found = dealt.groupBy("block", "turn").cogroup(sent.groupBy("block", "turn")).applyInPandas(compare, "query_id long, id long, key long, more boolean, d double")
+        nearest = Window.partitionBy("query_id").orderBy("d", "id")
+        found = keep(found.withColumn("nth", F.row_number().over(nearest)).where(F.col("nth") <= n).drop("nth"))
         # Copies: the k + 1 smallest ids of each node are enough, as one may be the query.
-        first = Window.partitionBy("same").orderBy("vec_id")
-        ids = self.rows.select("same", "vec_id").distinct().withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= k + 1)
-        named = beam.select("query_id", "node", "d").join(nodes.select("node", "same"), "node").join(ids, "same")
+        first = Window.partitionBy("key").orderBy("vec_id")
+        named = found.select("query_id", F.col("id").alias("vec_id"), F.col("d").alias("score"))
+        if not found.where("more").isEmpty():
+            copied = found.where("more")
+            ids = self.raw.select(F.xxhash64("same").alias("key"), "vec_id").join(copied.select("key").distinct(), "key").distinct()
+            ids = ids.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= k + 1).drop("nth")
+            named = named.union(copied.select("query_id", "key", "d").join(ids, "key").select("query_id", "vec_id", "d"))
         if exclude_own:
             named = named.where("query_id <> vec_id")
         order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-        named = named.groupBy("query_id", "vec_id").agg(F.min("d").alias("score"))
+        named = named.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
         return named.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

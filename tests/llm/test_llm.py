@@ -206,6 +206,30 @@ def test_neighbours_off_the_origin_and_in_doubles(spark, offset):
     assert next(r for r in out if r.query_id == 0 and r["rank"] == 1).vec_id == 1
 
 
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_rows_beyond_the_landmarks_are_all_searched(spark, kind):
+    from nuclade.llm.annsearch import Graph, Index, search_every
+
+    rng = np.random.default_rng(21)
+    x = np.concatenate([rng.standard_normal((900, 16)), 3 + 1e-4 * rng.standard_normal((300, 16)), np.ones((100, 16))])
+    x = x.astype(np.float32).astype(np.float64)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], f"vec_id long, embedding array<{kind}>")
+    # The graph is of bounded size, the index isn't; blocks and parts are much smaller than the table.
+    how = Graph(degree=12, sample=10, rounds=2, trees=3, leaf=60, landmarks=200, beam=200, expand=50, block=50, part=7)
+    index = Index(df, how)
+    assert index.links.shape == (200, 12) and index.rows.count() == 1201
+    found = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in search_every(df, every=25, how=how).collect()}
+    assert len(found) == 10 * 52
+    for q in range(0, 1300, 25):
+        d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        d[q] = np.inf
+        for k, i in enumerate(np.lexsort((np.arange(1300), d))[:10].tolist()):
+            assert found[q, k + 1][0] == i and math.isclose(found[q, k + 1][1], d[i], rel_tol=1e-12, abs_tol=1e-15)
+    # A walk over a third of the landmarks finds most.
+    some = search_every(df, every=25, how=Graph(degree=12, sample=10, rounds=2, trees=3, leaf=60, landmarks=200, beam=70, expand=20)).collect()
+    assert sum(r.score <= found[r.query_id, 10][1] for r in some) >= 0.9 * len(found)
+
+
 def test_links_of_doubles_of_any_size(spark):
     from nuclade.llm.embdedup import near_duplicates
 
