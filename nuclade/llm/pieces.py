@@ -31,8 +31,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 #: Chunks of up to so many characters are laid side by side, so many at once; for longer ones the same is done by position.
 WIDE, ROWS = 64, 12_000
-#: Searches kept between batches, and texts' characters in one batch.
-CACHE, BATCH = 100_000, 1 << 21
+#: Searches kept between batches, and their characters; texts' characters in one batch.
+CACHE, HELD, BATCH = 100_000, 1 << 21, 1 << 21
 LOW = -1e30
 _SPREAD = 0x9E3779B97F4A7C15
 
@@ -330,8 +330,8 @@ class Paths:
         return self
 
 
-def combine(options: list[list[tuple[float, int]]], n: int) -> list[tuple[float, int, tuple[int, ...]]]:
-    """The n best ``(cost, change of length, choice)`` of one ``(cost, change)`` from each list, sorted by cost."""
+def combine(options: list[list[tuple]], n: int) -> list[tuple[float, int, tuple[int, ...]]]:
+    """The n best ``(cost, change of length, choice)`` of one ``(cost, change, ...)`` from each list, sorted by cost."""
     start = (0,) * len(options)
     heap = [(0.0, start)]
     seen, out = {start}, []
@@ -352,10 +352,16 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary, n: int) -> None:
         self.v, self.n = vocabulary, n
-        self.more: dict[str, list[tuple[float, int]]] = {}
+        self.more: dict[str, list[tuple[float, int, np.ndarray]]] = {}
+        self.held = 0
 
     def encode(self, texts: list) -> Iterator[tuple[np.ndarray, list[tuple[float, int]]]]:
         """``(ids, [(score, number of ids) of the n best])`` of each text, in order."""
+        for paths, best in self.segment(texts, 1):
+            yield paths[0], best
+
+    def segment(self, texts: list, whole: int | None = None) -> Iterator[tuple[list[np.ndarray], list[tuple[float, int]]]]:
+        """``([ids of the n best], [(score, number of ids) of the n best])`` of each text, in order; ids of the ``whole`` best only."""
         marked = ["" if not x else BLANK + x.replace(" ", BLANK) for x in texts]
         points = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         begins = np.cumsum([0, *map(len, marked)])
@@ -368,26 +374,39 @@ class Encoder:
         ends = np.concatenate([[0], np.cumsum(count)])
         ids = paths.ids[np.repeat(paths.first[inverse] - ends[:-1], count) + np.arange(ends[-1])]
         scores = np.concatenate([[0], np.cumsum(paths.score[inverse])])
-        if len(self.more) > CACHE:
-            self.more = {}
+        if len(self.more) > CACHE or self.held > HELD:
+            self.more, self.held = {}, 0
         for t, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
-            cost, options = gaps[a:b], []
+            cost, options, spots = gaps[a:b], [], []
             k = min(self.n - 1, b - a)
             for i in np.sort(np.argpartition(cost, k - 1)[:k]).tolist() if k else []:
                 if cost[i] < np.inf:
                     begin = int(starts[a + i] - begins[t])
                     options.append(self._options(marked[t][begin : begin + int(lens[a + i])]))
-            n, score = int(ends[b] - ends[a]), float(scores[b] - scores[a])
-            yield ids[ends[a] : ends[b]], [(score - c, n + d) for c, d, _ in combine(options, self.n)]
+                    spots.append((int(ends[a + i] - ends[a]), int(ends[a + i + 1] - ends[a])))
+            n, score, own = int(ends[b] - ends[a]), float(scores[b] - scores[a]), ids[ends[a] : ends[b]]
+            best = combine(options, self.n)
+            yield [_replaced(own, options, spots, pick) for _, _, pick in best[:whole]], [(score - c, n + d) for c, d, _ in best]
 
-    def _options(self, chunk: str) -> list[tuple[float, int]]:
-        """Cost against the best, and change of length, of the n best paths of a chunk."""
+    def _options(self, chunk: str) -> list[tuple[float, int, np.ndarray]]:
+        """Cost against the best, change of length, and ids, of the n best paths of a chunk."""
         if chunk not in self.more:
             best = self.v.search(chunk, self.n)
-            self.more[chunk] = [(best[0][0] - s, len(x) - len(best[0][1])) for s, x in best]
+            self.more[chunk] = [(best[0][0] - s, len(x) - len(best[0][1]), np.array(x, dtype=np.int32)) for s, x in best]
+            self.held += len(chunk)
         return self.more[chunk]
 
 
+def _replaced(ids: np.ndarray, options: list[list[tuple[float, int, np.ndarray]]], spots: list[tuple[int, int]], pick: tuple[int, ...]) -> np.ndarray:
+    """``ids`` with those of the chosen paths in the chunks' places, where it isn't the best one."""
+    out, at = [], 0
+    for own, (begin, end), k in zip(options, spots, pick, strict=True):
+        if k:
+            out += [ids[at:begin], own[k][2]]
+            at = end
+    return np.concatenate([*out, ids[at:]]) if out else ids
+
+
 _RNG = np.random.default_rng(9)
 _LOW, _HIGH = (_RNG.integers(1, 2**63, n, dtype=np.uint64) for n in (4096, 1024))
 _BASE = 0xA0761D6478BD642F
@@ -406,12 +425,18 @@ def _hashes(points: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndar
     return (sums[starts + lens] - sums[starts]) * down[starts] ^ (lens.astype(np.uint64) << np.uint64(48))
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, n: int = 4, with_ids: bool = True) -> DataFrame:
+def _lists(rows: list[np.ndarray]) -> pa.Array:
+    """An array of lists of 32-bit integers."""
+    ends = np.cumsum([0, *map(len, rows)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, dtype=np.int32), *rows]).astype(np.int32, copy=False)))
+
+
+def encode(docs: DataFrame, vocabulary: Vocabulary, n: int = 4, with_ids: bool = True, with_paths: bool = False) -> DataFrame:
     """``(doc_id, n_tokens, ids_md5, score, n_best, exact[, ids])`` of each row of ``docs(doc_id, text)``.
 
     ``n_best`` has score and number of ids of the n best segmentations of the
-    whole text, best first; ``ids`` are the best one's and ``ids_md5`` is of them
-    as little-endian 32-bit numbers. ``exact`` says whether decoding the ids
+    whole text, best first, and ``with_paths`` the ids of each; ``ids`` are the
+    best one's and ``ids_md5`` is of them as little-endian 32-bit numbers. ``exact`` says whether decoding the ids
     gives the text again, which fails only for texts that hold the blank's own
     mark or unpaired surrogates. Null and empty texts have no ids, score 0, and
     are exact. Repeated rows are each encoded. Other columns are ignored.
@@ -428,16 +453,24 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, n: int = 4, with_ids: bool =
                     end += 1
                 part, out = batch.slice(at, end - at), []
                 texts = part.column("text").to_pylist()
-                for text, (ids, best) in zip(texts, encoder.encode(texts), strict=True):
-                    row = (len(ids), hashlib.md5(ids.astype("<i4").tobytes()).hexdigest(), best[0][0], [{"score": s, "n_tokens": k} for s, k in best], vocabulary.decode(ids.tolist()) == (text or ""))
-                    out.append((*row, ids) if with_ids else row)
-                columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
+                for text, (paths, best) in zip(texts, encoder.segment(texts, None if with_paths else 1), strict=True):
+                    ids = paths[0]
+                    out.append((len(ids), hashlib.md5(ids.astype("<i4").tobytes()).hexdigest(), best[0][0], best, vocabulary.decode(ids.tolist()) == (text or ""), paths))
+                *columns, best, exact, paths = zip(*out, strict=True)
+                columns = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
+                each = [x for own in best for x in own]
+                parts = [pa.array([s for s, _ in each], pa.float64()), pa.array([k for _, k in each], pa.int64())]
+                parts += [_lists([x for own in paths for x in own])] * with_paths
+                ends = pa.array(np.cumsum([0, *map(len, best)]), pa.int32())
+                columns += [pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(parts, fields)), pa.array(exact, pa.bool_())]
+                columns += [_lists([own[0] for own in paths])] * with_ids
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], names)
                 at = end
 
-    schema = "doc_id long, n_tokens long, ids_md5 string, score double, n_best array<struct<score:double,n_tokens:long>>, exact boolean" + ", ids array<int>" * with_ids
+    path = "score:double,n_tokens:long" + ",ids:array<int>" * with_paths
+    schema = f"doc_id long, n_tokens long, ids_md5 string, score double, n_best array<struct<{path}>>, exact boolean" + ", ids array<int>" * with_ids
     names = ["doc_id", "n_tokens", "ids_md5", "score", "n_best", "exact"] + ["ids"] * with_ids
-    kinds = [pa.int64(), pa.string(), pa.float64(), pa.list_(pa.struct({"score": pa.float64(), "n_tokens": pa.int64()})), pa.bool_()] + [pa.list_(pa.int32())] * with_ids
+    fields, kinds = ["score", "n_tokens"] + ["ids"] * with_paths, [pa.int64(), pa.string(), pa.float64()]
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 

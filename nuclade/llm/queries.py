@@ -48,7 +48,7 @@ def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pieces import Vocabulary, encode
 
-    return encode(table(spark, sf_dir, "documents"), Vocabulary.load(), with_ids=False)
+    return encode(table(spark, sf_dir, "documents"), Vocabulary.load(), with_paths=True)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

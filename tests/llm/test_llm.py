@@ -470,6 +470,28 @@ def test_real_vocabulary_round_trip(spark, docs, plain):
     assert encode(empty(spark), v).count() == 0
 
 
+def test_query_returns_the_n_best_segmentations(spark, tmp_path):
+    from nuclade.llm.pieces import Vocabulary
+    from nuclade.llm.queries import op5_sentencepiece
+
+    texts_ = ["", None, "a", "the cat sat on the mat", "x\ny  z é 漢字", "=" * 300, "lorem ipsum " * 40, "ab" * 100 + " cd"]
+    spark.createDataFrame(list(enumerate(texts_)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    v = Vocabulary.load()
+    out = op5_sentencepiece(spark, str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in out) == list(range(len(texts_)))
+    for r in out:
+        text = texts_[r.doc_id] or ""
+        paths = [tuple(x.ids) for x in r.n_best]
+        assert r.exact and r.ids == r.n_best[0].ids and v.decode(r.ids) == text and len(set(paths)) == len(paths)
+        best = v.search("▁" + text.replace(" ", "▁"), 4) if text else [(0.0, ())]
+        assert [x.score for x in r.n_best] == pytest.approx([s for s, _ in best]) and r.score == r.n_best[0].score
+        for x in r.n_best:
+            missing = Counter(x.ids) & Counter(v.bytes_)
+            assert len(x.ids) == x.n_tokens and v.decode(x.ids) == text
+            if not missing:
+                assert sum(v.scores[i] for i in x.ids) == pytest.approx(x.score)
+
+
 # -------------------------------------------------------------------- 6, toxicity
 
 
