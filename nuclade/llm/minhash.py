@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, keep
+from .common import drop, keep, trimmed
 from .components import components
 from .shingles import shingle_sets
 
@@ -100,7 +100,7 @@ def sketch(docs: DataFrame, how: MinHash) -> DataFrame:
                 columns = [part.column("doc_id"), part.column("th"), pa.array([len(x) for x in sets], pa.int64()), pa.array(same, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(marks, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(run, "doc_id long, th long, n_shingles long, same binary, bands array<long>, signature binary")
+    return docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(trimmed(run), "doc_id long, th long, n_shingles long, same binary, bands array<long>, signature binary")
 
 
 def _nodes(classes: DataFrame) -> tuple[DataFrame, bool]:

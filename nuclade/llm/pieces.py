@@ -27,12 +27,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from .common import trimmed
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 #: Chunks of up to so many characters are laid side by side, so many at once; for longer ones the same is done by position.
 WIDE, ROWS = 64, 12_000
-#: Searches kept between batches, and their characters; texts' characters in one batch.
-CACHE, HELD, BATCH = 100_000, 1 << 21, 1 << 21
+#: Searches kept between batches, and their characters; texts' characters in one batch, which bound what a worker holds.
+CACHE, HELD, BATCH = 100_000, 1 << 21, 1 << 19
 LOW = -1e30
 _SPREAD = 0x9E3779B97F4A7C15
 
@@ -471,7 +473,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, n: int = 4, with_ids: bool =
     schema = f"doc_id long, n_tokens long, ids_md5 string, score double, n_best array<struct<{path}>>, exact boolean" + ", ids array<int>" * with_ids
     names = ["doc_id", "n_tokens", "ids_md5", "score", "n_best", "exact"] + ["ids"] * with_ids
     fields, kinds = ["score", "n_tokens"] + ["ids"] * with_paths, [pa.int64(), pa.string(), pa.float64()]
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), schema)
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, keep
+from .common import drop, keep, trimmed
 from .sais import common_prefixes, suffix_array
 
 #: Bytes of the piece that is a minimizer, and starts that are looked at together.
@@ -146,7 +146,7 @@ def _segment_rows(docs: DataFrame, length: int) -> DataFrame:
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names)
 
-    return docs.select("id", "th", "text").mapInArrow(gathered, "mh long, sa long, id long, th long, at long, span short, off short")
+    return docs.select("id", "th", "text").mapInArrow(trimmed(gathered), "mh long, sa long, id long, th long, at long, span short, off short")
 
 
 def _texts(column: pa.Array) -> list[bytes]:
@@ -259,7 +259,7 @@ def remove_repeats(docs: DataFrame, how: Repeats | None = None, carry: list[str]
                 text = now.column("text").take(pa.array([None if x else i for i, x in enumerate(done)], pa.int64()))
                 yield _batch({"id": now.column("id"), "th": now.column("th"), "text": text, "spans": _structs(spans, ("a", "b")), "more": _structs(more, ("at", "span", "off", "mh", "way"), {"span": pa.int32(), "off": pa.int32(), "way": pa.int32()}), "done": pa.array(done), **_results(cut), **{w: now.column(w) for w in kept_cols}})
 
-    met = keep(left.mapInArrow(first, f"id long, th long, text string, spans array<struct<a:long,b:long>>, more {part}, done boolean, {result}{carried}"))
+    met = keep(left.mapInArrow(trimmed(first), f"id long, th long, text string, spans array<struct<a:long,b:long>>, more {part}, done boolean, {result}{carried}"))
     for x in (rows, kinds, different):
         drop(x)
     open_ = met.where("not done").select("id", "th", "text", "spans", "more", *kept_cols)
@@ -286,7 +286,7 @@ def remove_repeats(docs: DataFrame, how: Repeats | None = None, carry: list[str]
                                 out.append((int.from_bytes(key, "little", signed=True), id_, th, lo, data[lo : hi + length], way == 4))
                 yield _rows(out, ("key", "id", "th", "at", "piece", "known"), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_()))
 
-    cut = keep(open_.mapInArrow(pieces, "key long, id long, th long, at long, piece binary, known boolean"))
+    cut = keep(open_.mapInArrow(trimmed(pieces), "key long, id long, th long, at long, piece binary, known boolean"))
     sizes = cut.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     total = cut.agg(F.sum(F.length("piece"))).first()[0] or 0
     shards = max(1, -(-total // how.shard))
@@ -311,7 +311,7 @@ def remove_repeats(docs: DataFrame, how: Repeats | None = None, carry: list[str]
                 yield _rows(out, ("digest", "id", "th", "a"), (pa.binary(), pa.int64(), pa.int64(), pa.int64()))
 
     # Minimizers whose text around them is the same still more often: string by string.
-    single = keyed.where(F.col("n") > how.many).select("id", "th", "at", "piece").mapInArrow(strings, "digest binary, id long, th long, a long")
+    single = keyed.where(F.col("n") > how.many).select("id", "th", "at", "piece").mapInArrow(trimmed(strings), "digest binary, id long, th long, a long")
     twice = single.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest")
     single = single.join(twice, "digest").select("id", "th", "a", (F.col("a") + length).alias("b"))
     found = small.groupBy("shard").applyInPandas(sort, "id long, th long, a long, b long").union(single)
@@ -330,7 +330,7 @@ def remove_repeats(docs: DataFrame, how: Repeats | None = None, carry: list[str]
                 yield _batch({"id": now.column("id"), **_results(cut), **{w: now.column(w) for w in kept_cols}})
 
     closed = met.where("done").select("id", *RESULT, *kept_cols)
-    both = closed.union(rest.mapInArrow(last, f"id long, {result}{carried}"))
+    both = closed.union(rest.mapInArrow(trimmed(last), f"id long, {result}{carried}"))
     return both.select(F.when(~F.col("no_id"), F.col("id")).alias("doc_id"), *RESULT, *(F.col(w).alias(c) for c, w in zip(carry, with_, strict=True)))
 
 

@@ -780,3 +780,41 @@ def test_pipeline_with_nulls_and_repeated_ids_end_to_end(spark, tmp_path):
     assert all(r.exact and r.n_tokens == len(r.ids) > 0 for r in out) and len(out) > 25
     spark.createDataFrame([], docs_.schema).write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
     assert p.run(spark, str(tmp_path)).count() == 0
+
+
+WORKER = """
+import random, re, sys
+import pyarrow as pa, pyspark.cloudpickle as cp
+from nuclade.llm import pieces
+
+class Docs:
+    def select(self, *names): return self
+    def mapInArrow(self, run, schema): return cp.dumps(run)
+
+def held():
+    return sum(int(x) for x in re.findall(r"Pss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read())) / 1024
+
+run = cp.loads(pieces.encode(Docs(), pieces.Vocabulary.load()))
+rng = random.Random(15)
+words = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(300)]
+texts = [" ".join(rng.choices(words, k=300)) for _ in range(1500)]
+batch = pa.RecordBatch.from_arrays([pa.array(range(1500)), pa.array(texts)], ["doc_id", "text"])
+open("/proc/self/clear_refs", "w").write("5")
+before, rows = held(), 0
+for out in run(iter([batch])):
+    rows += out.num_rows
+del out
+peak = int(re.search(r"VmHWM:\\s+(\\d+)", open("/proc/self/status").read())[1]) - int(re.search(r"VmRSS:\\s+(\\d+)", open("/proc/self/status").read())[1])
+print(rows, before, held(), peak / 1024)
+"""
+
+
+def test_a_worker_of_the_pipeline_holds_little_and_gives_it_back():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    said = subprocess.run([sys.executable, "-c", WORKER], cwd=Path(__file__).resolve().parents[2], capture_output=True, text=True, timeout=120, check=True)
+    rows, before, after, above = map(float, said.stdout.split())
+    # MB: what is kept after a task, and what it took meanwhile beyond that.
+    assert rows == 1500 and after - before < 25 and above < 55, said.stdout
