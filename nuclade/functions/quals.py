@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -82,3 +84,73 @@ def scan(qual: Column, stops, low: int, offset: int) -> Column:
         return pd.DataFrame({"n": n, "ee": total, "low": poor})
 
     return run(qual)
+
+
+@cache
+def _fold_tables(offset: int, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+    """Error probabilities by symbol, the last for none, and the largest probability of each score above ``low``, ascending.
+
+    Both are of the C library, as in the reference and SQL: a mean of equal
+    errors is at the edge of a score, where other implementations of power and
+    logarithm give another score.
+    """
+    errors_ = [0.75 if c - offset < 2 else math.pow(10.0, -(c - offset) / 10.0) for c in range(256)]
+    edges = []
+    for q in range(low + 1, high + 1):
+        at = math.pow(10.0, -q / 10.0)
+        while math.floor(-10.0 * math.log10(math.nextafter(at, 1e300))) >= q:
+            at = math.nextafter(at, 1e300)
+        while math.floor(-10.0 * math.log10(at)) < q:
+            at = math.nextafter(at, 0.0)
+        edges.append(at)
+    return np.array([*errors_, np.nan]), np.array(edges[::-1])
+
+
+def folded(sizes: np.ndarray, quals: pa.Array, offsets: np.ndarray, best: bool, offset: int, low: int, high: int) -> list[str | None]:
+    """Qualities of each group of reads, folded one after the other; group i has the rows from ``offsets[i]`` to ``offsets[i + 1]``.
+
+    A null quality makes its group's null. Groups are folded together, a step for
+    all that have so many reads.
+    """
+    errors_, edges = _fold_tables(offset, low, high)
+    null = np.append(0, np.cumsum(np.asarray(quals.is_null())))
+    quals = quals.cast(pa.binary()).fill_null(b"")
+    starts = np.frombuffer(quals.buffers()[1], dtype=np.int32)[quals.offset : quals.offset + len(quals) + 1].astype(np.int64)
+    data, lens, count = np.frombuffer(quals.buffers()[2] or b"", dtype=np.uint8), np.diff(starts), np.diff(offsets)
+    out: list[str | None] = [None] * len(count)
+    known = np.flatnonzero((count > 0) & (null[offsets[1:]] == null[offsets[:-1]]))
+    for g in known[count[known] == 1].tolist():
+        out[g] = quals[int(offsets[g])].as_py().decode()
+    several = known[count[known] > 1]
+    width = np.array([lens[offsets[g] : offsets[g + 1]].max() for g in several.tolist()], dtype=np.int64)
+
+    def symbols(rows: np.ndarray, wide: int) -> np.ndarray:
+        places = np.arange(wide)[None]
+        inside = places < lens[rows, None]
+        found = np.full(inside.shape, 256, dtype=np.int16)
+        found[inside] = data[(starts[rows, None] + places)[inside]]
+        return found
+
+    order = np.argsort(width, kind="stable")
+    at = 0
+    while at < len(order):
+        end = at + 1
+        while end < len(order) and width[order[end]] * (end + 1 - at) <= CELLS:
+            end += 1
+        part = order[at:end]
+        part = part[np.argsort(-count[several[part]], kind="stable")]
+        own, wide = several[part], int(width[part].max())
+        state, n = symbols(offsets[own], wide), sizes[offsets[own]].astype(np.float64)
+        for step in range(1, int(count[own[0]])):
+            live = int(np.searchsorted(-count[own], -step, side="left"))
+            rows = offsets[own[:live]] + step
+            x, m = symbols(rows, wide), sizes[rows].astype(np.float64)
+            a, b = errors_[state[:live]], errors_[x]
+            p = np.fmin(a, b) if best else (a * n[:live, None] + b * m[:, None]) / (n[:live] + m)[:, None]
+            q = np.where(np.isnan(p), high, low + len(edges) - np.searchsorted(edges, p))
+            state[:live] = np.where((state[:live] == 256) & (x == 256), 256, q + offset)
+            n[:live] += m
+        for g, row in zip(own, state, strict=True):
+            out[g] = row[row < 256].astype(np.uint8).tobytes().decode("latin-1")
+        at = end
+    return out

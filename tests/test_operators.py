@@ -1,3 +1,5 @@
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -128,3 +130,22 @@ def test_entry_has_queries_and_sql():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries()) and len(entry.queries()) > 60
+
+
+def test_folded_qualities_are_those_of_the_c_library(spark):
+    both = [(a, b) for a in range(42) for b in range(42)]
+    symbols = lambda i: "".join(chr(33 + x[i]) for x in both)
+    sizes = [(n, m) for n in range(1, 8) for m in range(1, 8)]
+    rows = [(2 * i + j, "x", f"{i:b}".translate(str.maketrans("01", "AC")), symbols(j), s[j], None) for i, s in enumerate(sizes) for j in (0, 1)]
+    error = lambda q: 0.75 if q < 2 else math.pow(10.0, -q / 10.0)
+    score = lambda p: max(0, min(41, math.floor(-10.0 * math.log10(p))))
+    out = {r.seqno: r.qual for r in derep.uniques_quality(spark.createDataFrame(rows, READ)).collect()}
+    for i, (n, m) in enumerate(sizes):
+        assert out[2 * i] == "".join(chr(33 + score((error(a) * n + error(b) * m) / (n + m))) for a, b in both), (n, m)
+
+
+def test_folds_of_several_reads_and_of_none(spark):
+    rows = [(0, "a", "ACGT", "IIII", 1, None), (1, "b", "ACGT", "5555", 1, None), (2, "c", "ACGT", "++++", 2, None), (3, "d", "GG", None, 1, None), (4, "e", "GG", "II", 1, None), (5, "f", "TTT", "#I~", 3, None)]
+    df = spark.createDataFrame(rows, READ)
+    assert {r.seqno: (r.qual, r["size"]) for r in derep.uniques_quality(df).collect()} == {0: ("----", 4), 3: (None, 2), 5: ("#I~", 3)}
+    assert {r.seqno: r.qual for r in derep.uniques_quality(df, keep_best=True).collect()} == {0: "IIII", 3: None, 5: "#I~"}
