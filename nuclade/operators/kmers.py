@@ -9,7 +9,7 @@ from pyspark.sql.types import StringType
 
 from ..functions import columns as C
 from ..functions import words
-from ..functions.kernels import dust
+from ..functions.kernels import dust_all
 
 #: Rows of a block of queries and of targets.
 QUERIES, TARGETS = 1024, 8192
@@ -23,7 +23,10 @@ def tasks(rows: DataFrame) -> int:
 
 @F.pandas_udf(StringType())
 def dust_masked(seq: pd.Series) -> pd.Series:
-    return seq.map(lambda x: None if x is None else dust(x))
+    some = seq.notna()
+    out = pd.Series([None] * len(seq), index=seq.index, dtype=object)
+    out[some] = dust_all(seq[some].tolist())
+    return out
 
 
 def masked(reads: DataFrame, how: str = "dust", hard: bool = False) -> DataFrame:

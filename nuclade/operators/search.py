@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 from ..functions import columns as C
 from ..functions import kernels as K
 from . import kmers
+from .shared import keep
 
 #: Least shared words by word length.
 LEAST_WORDS = {3: 18, 4: 17, 5: 16, 6: 15, 7: 14, 8: 12, 9: 11, 10: 10, 11: 9, 12: 8, 13: 7, 14: 5, 15: 3}
@@ -94,8 +95,8 @@ def aligned_tests(weak_id: float | None = None, max_subs: int | None = None, max
     return [test(x) for x, test in asked if x is not None]
 
 
-def side(reads: DataFrame, p: str) -> DataFrame:
-    return reads.select(F.col("seqno").alias(p), F.col("header").alias(f"{p}_header"), C.normalised(F.col("seq")).alias(f"{p}_seq"), F.col("size").alias(f"{p}_size"), F.length("seq").alias(f"{p}_len"))
+def side(reads: DataFrame, p: str, *more: str) -> DataFrame:
+    return reads.select(*more, F.col("seqno").alias(p), F.col("header").alias(f"{p}_header"), C.normalised(F.col("seq")).alias(f"{p}_seq"), F.col("size").alias(f"{p}_size"), F.length("seq").alias(f"{p}_len"))
 
 
 def exact(queries: DataFrame, targets: DataFrame, both_strands: bool = False) -> DataFrame:
@@ -167,12 +168,19 @@ def verdicts(pairs: DataFrame, how: Search) -> DataFrame:
 def globally(queries: DataFrame, targets: DataFrame, how: Search | None = None) -> DataFrame:
     """Hits of each query, best first: words in common, then alignments in that order until enough pass or fail."""
     how = how or Search()
-    strands = [(0, queries)] + ([(1, queries.withColumn("seq", C.reverse_complement(F.col("seq"))))] if how.both_strands else [])
-    parts = []
-    for strand, own in strands:
-        found = candidates(own, targets, how).withColumn("strand", F.lit(strand))
-        parts.append(found.join(side(own, "q"), "q").join(side(targets, "t"), "t"))
-    pairs = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    # Counted, masked and joined: what it took to make the targets is done once.
+    targets = keep(targets.select("seqno", "header", "seq", "size"))
+    own = queries.select("seqno", "header", "seq", "size").withColumn("strand", F.lit(0))
+    if how.both_strands:
+        own = own.union(own.withColumn("seq", C.reverse_complement(F.col("seq"))).withColumn("strand", F.lit(1)))
+    if how.both_strands and how.within is None:
+        # Both strands are counted at once: the last bit of a number is the strand.
+        found = candidates(own.withColumn("seqno", 2 * F.col("seqno") + F.col("strand")), targets, how)
+        found = found.withColumn("strand", F.col("q").bitwiseAND(1).cast("int")).withColumn("q", F.shiftright("q", 1))
+    else:
+        parts = [candidates(own.where(F.col("strand") == i), targets, how).withColumn("strand", F.lit(i)) for i in range(1 + how.both_strands)]
+        found = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    pairs = found.join(side(own, "q", "strand"), ["q", "strand"]).join(side(targets, "t"), "t")
     hits = verdicts(pairs, how).where("accepted")
     best = Window.partitionBy("q").orderBy(F.col("id").desc(), "t", "strand")
     hits = hits.withColumn("hit", F.row_number().over(best))
@@ -261,22 +269,27 @@ def userout(hits: DataFrame, names: str = "query+target+id") -> DataFrame:
 
 def blast6(hits: DataFrame, queries: DataFrame | None = None) -> DataFrame:
     """The twelve columns; with ``queries`` those without hits have a row of ``*``."""
-    out = userout(hits, "query+target+id+alnlen+mism+opens+qlo+qhi+tlo+thi+evalue+bits")
+    names = "query+target+id+alnlen+mism+opens+qlo+qhi+tlo+thi+evalue+bits"
     if queries is None:
-        return out
-    none = matched(queries, hits, keep=False)
-    blank = {c: "*" if c == "target" else "0.0" if c == "id" else "-1" if c == "evalue" else 0 for c in out.columns}
-    return out.unionByName(none.select(*[F.col("header").alias(c) if c == "query" else F.lit(blank[c]).alias(c) for c in out.columns]))
+        return userout(hits, names)
+    known = fields(hits)
+    blank = {c: F.lit("*" if c == "target" else "0.0" if c == "id" else "-1" if c == "evalue" else 0) for c in known} | {"query": F.col("header")}
+    # One join, so that hits are found once: queries without any are those left over.
+    every = queries.select("seqno", "header").join(hits, F.col("seqno") == F.col("q"), "left")
+    return every.select(*[F.when(F.col("q").isNotNull(), known[n]).otherwise(blank[n]).alias(n) for n in names.split("+")])
 
 
 def uc(hits: DataFrame, queries: DataFrame) -> DataFrame:
     """H rows of best hits and N rows of queries without any."""
     text = lambda x: x.cast("string")
-    best = hits.where("hit = 1")
-    h = best.select(F.lit("H").alias("type"), text(F.col("t")).alias("cluster"), text(F.col("q_len")).alias("size"), F.format_string("%.1f", "id").alias("id"), F.when(F.col("strand") == 1, "-").otherwise("+").alias("strand"), F.when((F.col("id1") == 100.0) & (F.col("q_len") == F.col("t_len")), "=").otherwise(F.col("cigar")).alias("cigar"), F.col("q_header").alias("query"), F.col("t_header").alias("target"))
     star = F.lit("*")
-    n = matched(queries, hits, keep=False).select(F.lit("N").alias("type"), star.alias("cluster"), star.alias("size"), star.alias("id"), F.lit(".").alias("strand"), star.alias("cigar"), F.col("header").alias("query"), star.alias("target"))
-    return h.union(n)
+    hit = F.col("q").isNotNull()
+    columns = {
+        "type": ("H", "N"), "cluster": (text(F.col("t")), star), "size": (text(F.col("q_len")), star), "id": (F.format_string("%.1f", "id"), star), "strand": (F.when(F.col("strand") == 1, "-").otherwise("+"), "."),
+        "cigar": (F.when((F.col("id1") == 100.0) & (F.col("q_len") == F.col("t_len")), "=").otherwise(F.col("cigar")), star), "query": (F.col("q_header"), F.col("header")), "target": (F.col("t_header"), star),
+    }
+    every = queries.select("seqno", "header").join(hits.where("hit = 1"), F.col("seqno") == F.col("q"), "left")
+    return every.select(*[F.when(hit, h).otherwise(n).alias(c) for c, (h, n) in columns.items()])
 
 
 def sam(hits: DataFrame) -> DataFrame:

@@ -406,7 +406,8 @@ def usearch_global_both(spark, d):
 
 @query
 def usearch_userout(spark, d):
-    return search.userout(found(spark, d), "+".join(search.fields(found(spark, d))))
+    hits = found(spark, d)
+    return search.userout(hits, "+".join(search.fields(hits)))
 
 
 @query

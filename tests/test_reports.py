@@ -49,3 +49,15 @@ def test_streaming_derep_and_rollup(spark, tmp_path):
     assert {r.seq: r.size for r in spark.sql("select * from derep_out").collect()} == {"ACGT": 4, "TTTT": 2}
     events = spark.createDataFrame([(1, "a", 2.0)], "s long, event_type string, value double").withColumn("ts", F.timestamp_seconds("s"))
     assert flows.rollup(events).first().n == 1
+
+
+def test_reports_find_hits_once(spark):
+    rows = [(i, f"r{i}", s, "I" * len(s), 1, None) for i, s in enumerate(["ACGTTGCATGTCAGTACCGATTGCAGGTCTAACGTGATC", "ACGTTGCATGTCAGTACCGATTGCAGGTCTAACGTGATG", "TTGACCAGTTGACCATTGACCAGGATTTACAGATTACCA"])]
+    df = spark.createDataFrame(rows, READ)
+    hits = search.globally(df, df.where("seqno = 0"), search.Search(id=0.9, mask="none", both_strands=True))
+    uc, lines = search.uc(hits, df), search.blast6(hits, df)
+    assert {(r.type, r.cluster, r.id, r.strand, r.cigar, r["query"], r.target) for r in uc.collect()} == {("H", "0", "100.0", "+", "=", "r0", "r0"), ("H", "0", "97.4", "+", "39M", "r1", "r0"), ("N", "*", "*", ".", "*", "r2", "*")}
+    assert {(r["query"], r.target, r.id, r.alnlen, r.evalue) for r in lines.collect()} == {("r0", "r0", "100.0", 39, "-1"), ("r1", "r0", "97.4", 39, "-1"), ("r2", "*", "0.0", 0, "-1")}
+    for report in (uc, lines):
+        plan = report._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("MapInPandas") == 1 and plan.count("FlatMapCoGroupsInPandas") == 1
